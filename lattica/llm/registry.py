@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, quality, warc
+from . import bpe, chat, decontam, html_extract, neardup, ppm, quality, token_counts, toxicity, warc
 from .common import materialize, table
 
 
@@ -36,7 +37,53 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.SketchConfig(shingle=2, threshold=80))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep_ids=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    outside = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", eligible=~outside)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", outside.alias("held_out"), "score", "predicted")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and again after three edits of each: a deletion, an insertion and a replacement."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda start, length, insert: F.struct(F.floor(start).cast("int").alias("start"), F.lit(length).alias("length"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(size / 4, 9, ""), edit(size / 2, 0, " edited text 42"), edit(size * 3 / 4, 5, "l'\u00e9t\u00e9"))
+    counted = token_counts.count_tokens(docs.withColumn("edits", edits), RANKS, public_tokenizers.PATTERN)
+    edited = token_counts.apply_edits(counted.withColumn("before", F.col("n_tokens")), RANKS, public_tokenizers.PATTERN)
+    return edited.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.size("edits").cast("bigint").alias("n_edits"), "n_encoded")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_html_extraction, op3_warc_archive, op4_quality_rules)
-}
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_html_extraction, op3_warc_archive, op4_quality_rules, op5_minhash_near_dedup, op6_byte_level_bpe, op7_toxicity,
+        op8_token_counts, op9_lm_scoring, op10_benchmark_decontamination,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
