@@ -73,6 +73,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once per row: no later filter or projection is moved in front of them and repeats them."""
+    kept = [c for c in df.columns if c not in columns]
+    made = df.select(*kept, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return made.select(*kept, *(F.col("_once")[n].alias(n) for n in columns))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words ``WORD_CLASS`` of a text; empty for none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

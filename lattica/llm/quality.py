@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, let, words_of
+from .common import SPACE_CLASS, SPACES, let, once, words_of
 
 POSITION_BITS = 30
 WINDOW = 5
@@ -94,22 +94,25 @@ def apply_quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned_text."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned_text"]
     value = F.coalesce(F.col(text), F.lit(""))
-    inner = docs.select(*[c for c in docs.columns if c not in names], value.alias("_text"), words_of(value).alias("_words"), F.split(value, "\n").alias("_lines"))
     spoken = lambda line: F.btrim(line, F.lit(SPACES)) != ""
-    inner = inner.withColumn("_n", F.size("_words")).withColumn("_said", F.filter("_lines", spoken))
     chars = lambda x: F.length(F.translate(x, SPACES, ""))
     n_words = lambda x: F.regexp_count(x, F.lit(f"[^{SPACE_CLASS[1:]}+"))
-    inner = inner.select(
-        "*", F.col("_n").cast("long").alias("n_words"), chars(F.col("_text")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(COUNTED_SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_said") - F.size(F.array_distinct("_said"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words"), F.col("_n")).alias("n_repeat_words"),
-    )
-    inner = inner.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    carried = docs.select(*[c for c in docs.columns if c not in names])
+    parts = once(carried.withColumn("_text", value), _words=words_of(F.col("_text")), _lines=F.split("_text", "\n"))
+    parts = once(parts, _said=F.filter("_lines", spoken))
+    counted = once(
+        parts,
+        n_words=F.size("_words").cast("long"),
+        word_chars=chars(F.col("_text")).cast("long"),
+        n_symbols=F.regexp_count("_text", F.lit(COUNTED_SYMBOLS)).cast("long"),
+        n_dup_lines=(F.size("_said") - F.size(F.array_distinct("_said"))).cast("long"),
+        n_repeat_words=repeated_words(F.col("_words"), F.size("_words")),
+    )
+    counted = counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     good = F.filter("_lines", lambda x: ~spoken(x) | let(n_words(x), lambda n: ~line_fails(x, n, config)))
     # Of lines that an earlier one equals, the first stays; array_distinct keeps first places, and empty lines are separators anyway.
-    deduplicated = F.when(F.col("n_dup_lines") > 0, F.array_distinct(good)).otherwise(good)
-    inner = inner.withColumn("cleaned_text", F.array_join(deduplicated, "\n"))
+    cleaned = once(counted, _good=good)
+    cleaned = once(cleaned, cleaned_text=F.array_join(F.when(F.col("n_dup_lines") > 0, F.array_distinct("_good")).otherwise(F.col("_good")), "\n"))
     enough = chars(F.col("cleaned_text")) * 100 >= F.col("word_chars") * config.keep_percent
-    kept = ~F.col("base_failed") & enough
-    return inner.withColumn("kept", kept).drop("_text", "_words", "_lines", "_n", "_said")
+    judged = once(cleaned, kept=~F.col("base_failed") & enough)
+    return judged.select(*carried.columns, *names)
