@@ -1,10 +1,5 @@
-"""All queries and their DuckDB SQL, gathered from the operator modules."""
+"""All queries and their DuckDB SQL, gathered from the query modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import ORACLE_SQL, QUERIES, vectors  # noqa: F401
