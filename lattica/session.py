@@ -24,3 +24,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage of ``df`` with a reliable checkpoint; the folder is the session's, or a temporary one where none is set."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="lattica-"))
+    return df.checkpoint()
