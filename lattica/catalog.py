@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE_SQL, QUERIES, graph, metadata, text, vectors  # noqa: F401
+from .queries import ORACLE_SQL, QUERIES, ann, graph, metadata, text, vectors  # noqa: F401
