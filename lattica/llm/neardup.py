@@ -11,10 +11,13 @@ exponentially distributed hashes of the set's elements, as a truncated step of a
 3. Pairs are kept if sizes allow the threshold and the joint likelihood of both sketches, with the sets' exact
    sizes, doesn't rule it out; then the full sets decide.
 4. Components come from the confirmed links by large-star/small-star rounds over DataFrames.
-5. A bucket whose members are by then in one component is finished. In the others the members of each
-   component meet the least members of the components there, for ``rounds`` rounds; pairs that are still open after
-   that are all compared, so no link that shares a bucket is lost. The 32 bands of 4 registers miss a pair at 0.8
-   with probability 5e-8.
+5. A bucket whose members are by then in one component is finished. For the texts of the others, shingles that
+   no other of these texts has are counted. With c shingles left of n, a text reaches a text of m shingles at
+   most with similarity c / (n + m - c), so texts that can't reach the threshold with any text of a bucket leave
+   it; that ends nearly all of an edited copy's comparisons without making a pair, and loses no link.
+6. Among the rest, the members of each component meet the least and greatest members of the others, for
+   ``rounds`` rounds; pairs that are still open after that are all compared, so no link that shares a bucket is
+   lost. The 32 bands of 4 registers miss a pair at 0.8 with probability 5e-8.
 
 Nothing is collected: links, components and fingerprints stay DataFrames, cut by tables in the shared folder.
 
@@ -239,6 +242,42 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members with their component; one without links is its own."""
+    known = found.withColumnRenamed("node", "doc_id")
+    return members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component."""
+    ends = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return labelled.join(ends.select("bucket"), "bucket", "left_semi")
+
+
+def _reachable(members: DataFrame, texts: DataFrame, sizes: DataFrame, config: SketchConfig) -> DataFrame:
+    """Of ``bucket, doc_id``, those that may link to a member of their bucket, with size and common (shingles that another of ``texts`` has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "text").to_pylist()):
+                # 32 bits of the hash: a collision makes a shingle look shared, which keeps a text, never drops it.
+                h = np.unique(shingle_hashes(text, config.shingle).astype(np.uint32)).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], ["doc_id", "h"])
+
+    own = texts.dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id bigint, h int")
+    lonely = own.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("lonely"))
+    known = sizes.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").join(lonely, "doc_id", "left")
+    known = known.select("doc_id", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("common"))
+    alive = known.where(100 * F.col("common") >= config.threshold * F.col("size"))
+    out = members.join(alive, "doc_id")
+    # common / (size + m - common) >= t means m <= common * (1 + t) / t - size.
+    limit = F.col("common") * (100 + config.threshold) - config.threshold * F.col("size")
+    for _ in range(2):  # those that leave may have been the bucket's least
+        least = out.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("k")).where("k > 1")
+        out = out.join(least, "bucket").where(limit >= config.threshold * F.col("least")).drop("least", "k")
+    return out
+
+
 def near_duplicates(docs: DataFrame, config: SketchConfig = SketchConfig()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``."""
     prints = materialize(fingerprints(docs, config), "neardup-prints")
@@ -262,20 +301,21 @@ def near_duplicates(docs: DataFrame, config: SketchConfig = SketchConfig()) -> D
     links = links_of(buckets.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     found = components(links)
     large = buckets.where("n > 2").select("bucket", "doc_id")  # in a bucket of two, the pair has been compared
+    mixed = materialize(_mixed(_labelled(large, found)), "neardup-mixed").select("bucket", "doc_id")
+    texts_left = texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")
+    open_ = materialize(_reachable(mixed, texts_left, reps.select("doc_id", "n_shingles"), config), "neardup-open")
     left = config.rounds
     while True:
-        known = found.withColumnRenamed("node", "doc_id")
-        labelled = large.join(known, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        labelled = materialize(labelled, "neardup-labelled")
-        mixed = labelled.groupBy("bucket").agg(F.min(F.struct("component", "doc_id")).alias("first"), F.max(F.struct("component", "doc_id")).alias("last"))
-        mixed = mixed.where("first.component < last.component")
+        labelled = _mixed(_labelled(open_, found))
         if left:  # the least and the greatest member meet the members of other components
-            met = labelled.join(mixed, "bucket").select("doc_id", "component", F.explode(F.array("first", "last")).alias("x"))
+            ends = labelled.groupBy("bucket").agg(F.min(F.struct("component", "doc_id")).alias("first"), F.max(F.struct("component", "doc_id")).alias("last"))
+            met = labelled.join(ends, "bucket").select("doc_id", "component", F.explode(F.array("first", "last")).alias("x"))
             pairs = met.where("x.component <> component").select(F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:  # whatever is still open, pair by pair across components
-            still = labelled.join(mixed, "bucket", "left_semi")
-            other = still.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-            pairs = still.withColumnRenamed("doc_id", "a").join(other, "bucket").where("component < other").select("a", "b")
+            other = labelled.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("size").alias("m"), F.col("common").alias("d"))
+            shared = F.least("common", "d")
+            can = 100 * shared >= config.threshold * (F.col("size") + F.col("m") - shared)
+            pairs = labelled.withColumnRenamed("doc_id", "a").alias("l").join(other.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("component") < F.col("other")) & can).select("a", "b")
         more = links_of(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         new = more.limit(1).count()
         if new:
