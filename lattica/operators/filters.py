@@ -1,9 +1,9 @@
 """Metadata filters: expression tree, builder, parser, and their Column forms.
 
 Metadata are maps from string to string. A numeric literal is compared as a number if the value parses as one, else
-as text. Two flavours differ in three points:
+as text. Two flavours differ in four points:
 
-  pre    missing key: the row drops out, also for != and NOT; LIKE ignores case
+  pre    missing key: the row drops out, also for != and NOT; LIKE ignores case; < and > against a number ask for numbers
   post   missing key: only != holds; LIKE respects case; NOT of a missing key's comparison holds
 """
 
@@ -54,14 +54,14 @@ class Filter:
         v = get(self.key)
         if self.op == "between":
             low, high = self.value
-            return compare(v, ">=", low) & compare(v, "<=", high)
+            return compare(v, ">=", low, flavour) & compare(v, "<=", high, flavour)
         if self.op == "in":
             return reduce(or_, (compare(v, "=", x) for x in self.value)) if self.value else F.lit(False)
         if self.op == "like":
             return v.ilike(self.value) if flavour == "pre" else v.like(self.value)
         if self.op == "regex":
             return v.rlike(self.value)
-        out = compare(v, self.op, self.value)
+        out = compare(v, self.op, self.value, flavour)
         return F.coalesce(out, F.lit(True)) if self.op == "!=" and flavour == "post" else out
 
 
@@ -77,10 +77,12 @@ _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def compare(value: Column, op: str, literal: Any) -> Column:
+def compare(value: Column, op: str, literal: Any, flavour: str = "pre") -> Column:
     same = _COMPARE[op]
     if isinstance(literal, (int, float)) and not isinstance(literal, bool):
         number = value.cast("string").try_cast("double")
+        if flavour == "pre" and op not in ("=", "!="):
+            return same(number, F.lit(float(literal)))
         return F.when(number.isNotNull(), same(number, F.lit(float(literal)))).otherwise(same(value.cast("string"), F.lit(text_of(literal))))
     return same(value.cast("string"), F.lit(text_of(literal)))
 
