@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, html_extract, neardup, ppm, quality, token_counts, toxicity, warc
 from .common import materialize, table
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts, op9_lm_scoring, op10_benchmark_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
