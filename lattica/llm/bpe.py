@@ -43,6 +43,7 @@ WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 CACHED = 1_000_000  # pre-tokens in a worker's cache
 LONG_PIECE = 2048  # bytes of a pre-token that goes through the queue alone
+FEW_PIECES = 48  # fewer new pre-tokens go through it one by one
 BLOCK = 6_000_000  # characters of the texts that are looked at together
 
 
@@ -149,6 +150,7 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def pattern_for(self, text: str) -> re.Pattern:
+        """The pattern to use for a text; both give the same pre-tokens on texts without odd characters."""
         return self.fast if self.fast and _odd().isdisjoint(set(text)) else self.exact
 
     def findall(self, text: str) -> list[str]:
@@ -169,10 +171,10 @@ class Encoder:
             new = fresh
         if new:
             coded = [(p, p.encode("utf-8", "replace")) for p in new]
-            short = [x for x in coded if len(x[1]) <= LONG_PIECE]
-            self.cache.update(zip((p for p, _ in short), self.merge_many([b for _, b in short])))
+            together = [x for x in coded if len(x[1]) <= LONG_PIECE] if len(coded) >= FEW_PIECES else []
+            self.cache.update(zip((p for p, _ in together), self.merge_many([b for _, b in together])))
             for p, b in coded:
-                if len(b) > LONG_PIECE:
+                if not together or len(b) > LONG_PIECE:
                     self.cache[p] = np.array(self.merge(b), "<u4").tobytes()
 
     def counts(self, pieces: list[str]) -> list[int]:

@@ -84,6 +84,7 @@ class CountedText:
 
     def __init__(self, bpe: Encoder, text: str, tree: np.ndarray | None = None) -> None:
         self.bpe, self.text, self.encoded = bpe, text, 0
+        self.pattern = bpe.pattern_for(text)
         if tree is None:
             self._rebuild()
         else:
@@ -103,7 +104,9 @@ class CountedText:
         start = min(max(start, 0), len(old))
         stop = min(start + max(length, 0), len(old))
         self.text = new = old[:start] + insert + old[stop:]
-        if not old or not new or self.bpe.pattern_for(old) is not self.bpe.pattern_for(new):
+        if self.pattern is not self.bpe.exact:  # it serves for the old text and for what is left of it
+            self.pattern = self.bpe.pattern_for(insert)
+        if not old or not new:
             return self._rebuild()
         capacity, shift = len(tree) // 2, len(new) - len(old)
         first, begin = leaf_at(tree, max(start - CONTEXT, 0))
@@ -113,7 +116,7 @@ class CountedText:
         end = begin + int(tree[capacity + first, 0]) if last == first else end + int(tree[capacity + last, 0])
         sizes: list[int] = []
         pieces: list[str] = []
-        for m in self.bpe.pattern_for(new).finditer(new, begin):
+        for m in self.pattern.finditer(new, begin):
             pieces.append(m[0])
             sizes.append(m.end() - m.start())
             while m.end() > end + shift:
