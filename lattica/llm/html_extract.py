@@ -4,7 +4,7 @@ Pages are paired with the nearest page of the same host in URL-path order, their
 longest common subsequence, and shared lines are deleted. The markup says which lines the differencing
 may touch: what stands in elements that are boilerplate by name, class or role goes in any case, and what
 stands in a page's article stays even if another page repeats it, because a passage that two articles
-share is text of both. Where a page marks no article, differencing decides for all its lines.
+share is text of both. Differencing decides for all other lines, those beside a page's article too.
 
 Pages move once, to tasks by host and the first ``prefix`` characters of the path, and are read there in
 path order with one page before and after in hand, so a host with a third of all rows is spread out and
@@ -150,10 +150,10 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    if any(content and not boiler for _, boiler, content in lines):
-        return "\n".join(text for text, boiler, content in lines if content and not boiler)
-    shared = common_lines([x[0] for x in lines], [x[0] for x in other]) if other else set()
-    return "\n".join(text for i, (text, boiler, _) in enumerate(lines) if not boiler and i not in shared)
+    """Lines that the other page doesn't share; then boilerplate goes, and an article's lines stay, whatever is shared."""
+    undecided = any(not boiler and not content for _, boiler, content in lines)  # else no alignment can change the text
+    shared = common_lines([x[0] for x in lines], [x[0] for x in other]) if other and undecided else set()
+    return "\n".join(text for i, (text, boiler, content) in enumerate(lines) if not boiler and (content or i not in shared))
 
 
 def _alike(a: str, b: str) -> int:

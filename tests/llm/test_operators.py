@@ -66,6 +66,13 @@ def test_main_text(spark):
     assert got[2]["text"] == "Own text 1" and got[3]["text"] == "Own text 2" and got[4]["text"] == "" and got[5]["text"] == "a < b & c" and got[6]["text"].count("x") == 5000
 
 
+def test_main_text_beside_article():
+    page = "<p>Shared</p><div>Own intro {0}</div><article><p>Passage of both</p><p>Own text {0}</p></article><p>Own note {0}</p><footer>Own foot {0}</footer><div>Shared end</div>"
+    a, b = (html_extract.page_lines(page.format(i)) for i in (1, 2))
+    assert html_extract.main_text(a, b) == "Own intro 1\nPassage of both\nOwn text 1\nOwn note 1"
+    assert html_extract.main_text(a, None).split("\n") == ["Shared", "Own intro 1", "Passage of both", "Own text 1", "Own note 1", "Shared end"]
+
+
 def test_common_lines():
     random.seed(1)
     for _ in range(300):
