@@ -6,15 +6,17 @@ may touch: what stands in elements that are boilerplate by name, class or role g
 stands in a page's article stays even if another page repeats it, because a passage that two articles
 share is text of both. Differencing decides for all other lines, those beside a page's article too.
 
-Pages move once, to tasks by host and the first ``prefix`` characters of the path, and are read there in
-path order with one page before and after in hand, so a host with a third of all rows is spread out and
-no group is collected.
+Pages move once, to tasks by ranges of (host, path, page_id), and are read there in that order with one page
+before and after in hand, so a host with a third of all rows is spread out and no group is collected. The
+bounds of the ranges come from a sample of the addresses; a pass over the addresses finds the first and last
+page of each range, and these are also sent to the range before and after, as neighbours only. So every page
+whose host has another page is paired, however the ranges fall.
 
 Defined results
   null html          an empty text
   null url           host and path are empty
-  ties               pages of equal path are ordered by page_id
-  no other page      nothing is deleted by differencing
+  ties               pages of equal path are ordered by page_id, null first
+  no other page      on the host: nothing is deleted by differencing
   br, inline tags    part of their block; a br counts as white space
   empty table        no rows
   other columns      ignored
@@ -23,11 +25,12 @@ Defined results
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: HTML element names by role.
@@ -165,26 +168,77 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def extract_main_text(pages: DataFrame, prefix: int = 6) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``."""
+#: Sampled addresses for each range, which the driver sorts.
+SAMPLED = 30
+
+
+def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
+    """Least keys of all ranges but the first, from a sample."""
+    n = keys.count()
+    if parts < 2 or not n:
+        return []
+    wanted = SAMPLED * parts
+    found = sorted(tuple(r) for r in (keys.sample(min(1.0, wanted / n), 42) if n > wanted else keys).collect())
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+
+
+KEY = "struct<host:string,path:string,at:bigint>"
+
+
+def _constant(value: list, kind: str) -> Column:
+    """A literal in one expression, however long."""
+    return F.from_json(F.lit(json.dumps(value)), kind, {"mode": "FAILFAST"})
+
+
+def _part(k: Column, bounds: list[tuple]) -> Column:
+    """The number of bounds up to a key, by binary search."""
+    least = _constant([dict(zip(("host", "path", "at"), b)) for b in bounds], f"array<{KEY}>")
+    steps = F.array(*(F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(least, n + step - 1) <= k, n + step).otherwise(n))
+
+
+def extract_main_text(pages: DataFrame, prefix: int | None = None, parts: int | None = None) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``.
+
+    ``parts``: how many ranges, by default as many as shuffle partitions; ``prefix``: of no effect, callers still pass it.
+    """
+    spark = pages.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select("page_id", "url", "html")
     address = F.regexp_replace(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     rows = rows.withColumn("host", F.lower(F.regexp_extract(address, "^[^/?#]*", 0))).withColumn("path", F.regexp_extract(address, "^[^/?#]*([^?#]*)", 1))
-    rows = rows.withColumn("part", F.substring("path", 1, prefix))
-    rows = rows.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id")
+    rows = rows.withColumn("at", F.coalesce(F.col("page_id").cast("bigint"), F.lit(-(1 << 63))))
+    key = ("host", "path", "at")
+    bounds = _bounds(rows.select(*key), parts)
+    rows = rows.withColumn("k", F.struct(*key))
+    if bounds:
+        rows = rows.withColumn("part", _part(F.col("k"), bounds))
+        edges = rows.groupBy("part").agg(F.min("k").alias("first"), F.max("k").alias("last")).orderBy("part").collect()
+        # For each range its edge pages and the next ranges with rows on both sides, where these pages go too.
+        seams: list[dict] = [{}] * (len(bounds) + 1)
+        for i, e in enumerate(edges):
+            seams[e["part"]] = {"first": e["first"].asDict(), "last": e["last"].asDict()}
+            seams[e["part"]] |= {"before": edges[i - 1]["part"] if i else None, "after": edges[i + 1]["part"] if i + 1 < len(edges) else None}
+        seam = F.get(_constant(seams, f"array<struct<first:{KEY},last:{KEY},before:int,after:int>>"), F.col("part"))
+        to = [F.when(F.col("k") == seam["first"], seam["before"]), F.when(F.col("k") == seam["last"], seam["after"])]
+        rows = rows.select("page_id", "url", "html", *key, F.posexplode(F.array_compact(F.array("part", *to))).alias("copy", "part"))
+        rows = rows.repartitionById(len(bounds) + 1, F.col("part"))
+    else:
+        rows = rows.withColumn("copy", F.lit(0)).repartition(1)
+    rows = rows.select("page_id", "url", "html", *key, "copy").sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parsed() -> Iterator[tuple]:
             for batch in batches:
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html", "host", "part", "path")]
+                cols = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html", "host", "path", "copy")]
                 for i in range(batch.num_rows):
-                    page_id, url, page, host, part, path = (c[i].as_py() for c in cols)
-                    yield page_id, url, (host, part), path, page_lines(page or "")
+                    page_id, url, page, host, path, copy = (c[i].as_py() for c in cols)
+                    yield page_id, url, host, path, page_lines(page or ""), copy
 
         def results() -> Iterator[tuple]:
             before, here = None, None
             for after in _chain(parsed()):
-                if here is not None:
+                if here is not None and not here[5]:
                     near = [x for x in (before, after) if x is not None and x[2] == here[2]]
                     best = max(near, key=lambda x: _alike(x[3], here[3]), default=None)
                     yield here[0], here[1], main_text(here[4], best and best[4])

@@ -73,6 +73,22 @@ def test_main_text_beside_article():
     assert html_extract.main_text(a, None).split("\n") == ["Shared", "Own intro 1", "Passage of both", "Own text 1", "Own note 1", "Shared end"]
 
 
+def test_main_text_pairs_within_host(spark):
+    random.seed(2)
+    page = "<div>Menu of {h}</div><p>Own text {i}</p><div>Foot of {h}</div>"
+    urls = ["http://a/x/1", "http://a/y/2", "https://b/1", "http://B/other/path/2?q", "http://alone/1", *(f"http://big/{random.choice('pqrs')}{random.randint(0, 10**6)}/{i}.html" for i in range(60)), None, ""]
+    rows = [(None if i == 7 else i, u, page.format(h=u.split("/")[2].lower() if u else "", i=i)) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+    hosts = [u.split("/")[2].lower() if u else "" for u in urls]
+    # Every page with another page on its host loses menu and foot, whichever page it is paired with.
+    want = sorted((str(r[0]), f"Own text {i}" if hosts.count(h) > 1 else f"Menu of {h}\nOwn text {i}\nFoot of {h}") for i, (r, h) in enumerate(zip(rows, hosts)))
+    for parts in (None, 1, 7, 500):
+        got = sorted((str(r["page_id"]), r["text"]) for r in (html_extract.extract_main_text(df, parts=parts) if parts else html_extract.extract_main_text(df)).collect())
+        assert got == want
+    assert html_extract.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_common_lines():
     random.seed(1)
     for _ in range(300):
