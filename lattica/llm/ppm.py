@@ -8,8 +8,11 @@ training texts, gathered as counts of grams of order + 1 bytes (a text begins wi
 ends with one 0xFF, which UTF-8 never has). A text's code length is the sum over its bytes and the end; since
 it depends on the gram alone, it is computed once for each gram and looked up for the rest.
 
-The trie is bounded: of more than ``max_grams`` distinct grams, those of highest count are kept (ties by
-gram), so it can be broadcast whatever the corpus.
+The counts of all grams decide. Up to ``max_grams`` distinct ones are broadcast as a trie. Of more, the
+``max_grams`` most frequent ones (ties by gram) are broadcast with their probabilities, computed from the whole
+table; of the others each text sends one row per gram, which meets the probabilities by an equi-join. Grams that
+the training rows lack escape level by level, each level a join with the successors of its contexts, of which a
+context has at most 256. Both ways give the same scores.
 
 Base. Unigram counts of the training words grow without bound, so they stay a table. The ``head`` most
 frequent words are broadcast and looked up where the texts are; of the others each text sends one row per
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,8 +47,8 @@ START, END = 0xFE, 0xFF
 
 @dataclass(frozen=True)
 class PpmConfig:
-    order: int = 3  # bytes of context; grams have order + 1 bytes and must fit in 32 bits
-    max_grams: int = 1 << 20
+    order: int = 3  # bytes of context, 6 at most: grams have order + 1 bytes and are bigint
+    max_grams: int = 1 << 20  # that are broadcast; the others are joined
     head: int = 100_000
     folds: int = 7
     held_out_fold: int = 2
@@ -57,13 +60,19 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(LOWER_BYTES)
 
 
+def _width(order: int) -> type:
+    if not 0 <= order <= 6:
+        raise ValueError("the order must be 0 to 6")
+    return np.uint32 if order <= 3 else np.uint64
+
+
 def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All grams of texts in order, and the number of each text's."""
-    pad, end = bytes([START]) * order, bytes([END])
-    data = np.frombuffer(b"".join(pad + t + end for t in texts), np.uint8).astype(np.uint32)
+    pad, end, width = bytes([START]) * order, bytes([END]), _width(order)
+    data = np.frombuffer(b"".join(pad + t + end for t in texts), np.uint8).astype(width)
     gram = data[: len(data) - order].copy()
     for k in range(1, order + 1):
-        gram <<= np.uint32(8)
+        gram <<= width(8)
         gram |= data[k : len(data) - order + k]
     sizes = np.array([len(t) + 1 for t in texts])
     keep = np.ones(len(gram), bool)  # those that end in a text's own bytes
@@ -127,7 +136,7 @@ class Trie:
         key, n = self.levels[0]
         contexts, inverse, distinct = np.unique(key >> np.uint64(8), return_inverse=True, return_counts=True)
         totals = np.bincount(inverse, n, len(contexts)) + distinct
-        self.keys = key.astype(np.uint32)
+        self.keys = key.astype(_width(self.order))
         self.values = np.log10(n / totals[inverse]) if len(key) else np.zeros(0)
         # Dense lookup of grams whose bytes are all among the 63 most frequent ones.
         common = np.bincount((key & np.uint64(255)).astype(np.int64), n, 256) if len(key) else np.zeros(256)
@@ -197,7 +206,7 @@ def training_counts(docs: DataFrame, config: PpmConfig) -> DataFrame:
                 grams.append(np.unique(found, return_counts=True))
                 if len(grams) >= 8:
                     grams[:] = [_merged(grams)]
-                if len(words) > config.flush:
+                if len(words) > config.flush or len(grams[0][0]) > config.flush:
                     yield from sent()
         yield from sent()
 
@@ -209,6 +218,72 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
 
 
+def gram_values(grams: DataFrame) -> DataFrame:
+    """``gram, n, value`` of all grams of the training rows: log10 of count / (T + D) in the longest context."""
+    own = grams.withColumn("context", F.shiftright("gram", 8))
+    totals = own.groupBy("context").agg((F.sum("n") + F.count("*")).alias("total"))
+    return own.join(totals, "context").select("gram", "n", F.log10(F.col("n") / F.col("total")).alias("value"))
+
+
+def escaped_values(wanted: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """``gram, value`` of grams that the training rows lack."""
+    pending = wanted.select("gram", F.lit(0.0).alias("value"), F.lit((1 << START).to_bytes(32, "little")).alias("gone"))
+    done: list[DataFrame] = []
+    for level in range(order + 1):
+        bits = 8 * (order - level)
+        counts = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << bits + 8) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        seen = counts.groupBy(F.shiftright("key", 8).alias("context")).agg(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")).alias("seen"))
+        context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << bits) - 1))
+        # Short contexts have every gram waiting: 256 rows at most, sent to them.
+        joined = pending.withColumn("context", context).join(F.broadcast(seen) if bits <= 8 else seen, "context", "left")
+        step = materialize(joined.select("gram", "value", "gone", "seen").mapInArrow(_escape(level == order), "gram bigint, value double, gone binary, done boolean"), "ppm-escape")
+        done.append(step.where("done").select("gram", "value"))
+        pending = step.where("NOT done").select("gram", "value", "gone")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _escape(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One level for grams with the symbols excluded so far (a bit each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, gones, dones = [], [], []
+            for gram, value, gone, seen in zip(*(_column(batch, c) for c in ("gram", "value", "gone", "seen"))):
+                gone, done = int.from_bytes(gone, "little"), False
+                free = {x["symbol"]: x["n"] for x in seen or () if not gone >> x["symbol"] & 1}
+                if free:
+                    whole, n = sum(free.values()) + len(free), free.get(gram & 255)
+                    value += math.log10((n or len(free)) / whole)
+                    done = n is not None
+                    for symbol in free:
+                        gone |= 1 << symbol
+                if last and not done:
+                    value -= math.log10(256 - gone.bit_count())
+                    done = True
+                values.append(value)
+                gones.append(gone.to_bytes(32, "little"))
+                dones.append(done)
+            yield pa.RecordBatch.from_arrays([pa.array(_column(batch, "gram"), pa.int64()), pa.array(values, pa.float64()), pa.array(gones, pa.binary()), pa.array(dones, pa.bool_())], ["gram", "value", "gone", "done"])
+
+    return run
+
+
+class Head:
+    """log10 probabilities of the most frequent grams; those of others are unknown here."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        """NaN for unknown ones."""
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        return np.where(self.keys[at] == grams, self.values[at], np.nan)
+
+
 def score_documents(docs: DataFrame, config: PpmConfig = PpmConfig()) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -219,22 +294,33 @@ def score_documents(docs: DataFrame, config: PpmConfig = PpmConfig()) -> DataFra
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
     n_train, denominator = int(size["tokens"]), int(size["tokens"]) + int(size["types"]) + 1
     top = words.orderBy(F.desc("n"), "word").limit(config.head).toArrow()
-    grams = counts.where("gram IS NOT NULL").select("gram", "n").orderBy(F.desc("n"), "gram").limit(config.max_grams).toArrow()
+    grams = counts.where("gram IS NOT NULL").select("gram", "n")
+    whole = grams.count() <= config.max_grams
+    if not whole:
+        found = materialize(gram_values(grams), "ppm-grams")
+    kept = (grams if whole else found.orderBy(F.desc("n"), "gram").limit(config.max_grams).select("gram", "value")).toArrow()
     sent = spark.sparkContext.broadcast(
-        (dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())), grams.column(0).to_numpy().astype(np.uint32), grams.column(1).to_numpy())
+        (dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())), kept.column(0).to_numpy().astype(_width(config.order)), kept.column(1).to_numpy())
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, keys, n = sent.value
         logs = {w: math.log10((c + 1) / denominator) for w, c in head.items()}
-        trie = Trie(keys, n, config.order)
+        model = Trie(keys, n, config.order) if whole else Head(keys, n)
         for batch in batches:
             texts = [normal(t) for t in _column(batch, "text")]
-            tokens, known, base, score, rare = [], [], [], [], []
+            tokens, known, base, score, rare, apart = [], [], [], [], [], []
             for lo, hi in slices(texts, [len(t) for t in texts], config.block_bytes):
                 block = texts[lo:hi]
                 found, sizes = grams_of(block, config.order)
-                score += np.add.reduceat(trie.score(found), np.cumsum(sizes) - sizes).tolist()
+                starts, p = np.cumsum(sizes) - sizes, model.score(found)
+                if not whole:
+                    missed = np.isnan(p)
+                    p[missed] = 0
+                    apart += [np.unique(found[lo:hi][missed[lo:hi]], return_counts=True) for lo, hi in zip(starts, starts + sizes)]
+                    del missed
+                score += np.add.reduceat(p, starts).tolist()
+                del found, p  # blocks are large
                 for t in block:
                     own = t.split()
                     own.append(b"")
@@ -247,15 +333,20 @@ def score_documents(docs: DataFrame, config: PpmConfig = PpmConfig()) -> DataFra
             pairs = pa.StructArray.from_arrays(
                 [pa.array([w for r in rare for w, _ in r], pa.binary()), pa.array([c for r in rare for _, c in r], pa.int32())], ["word", "times"]
             )
+            apart = apart or [(np.zeros(0, np.int64),) * 2] * len(texts)
+            apart_at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in apart])]).astype(np.int32))
+            apart_pairs = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in apart)]).astype(np.int64)) for i in (0, 1)], ["gram", "times"]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(at, pairs),
+                    pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(at, pairs), pa.ListArray.from_arrays(apart_at, apart_pairs),
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "apart"],
             )
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,times:int>>"
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,times:int>>, apart array<struct<gram:bigint,times:bigint>>"
     # Written once: rows get numbers of their own, since doc_id may be null or repeat, and both uses below read them.
     scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "ppm-scored")
     tail = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(words, "word", "left")
@@ -263,7 +354,14 @@ def score_documents(docs: DataFrame, config: PpmConfig = PpmConfig()) -> DataFra
     tail = tail.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(denominator)))).alias("tail_score")
     )
-    return scored.drop("rare").join(tail, "row", "left").select(
+    out = scored.drop("rare", "apart")
+    if not whole:
+        rest = scored.select("row", F.explode("apart").alias("r")).select("row", "r.gram", "r.times")
+        wanted = materialize(rest.select("gram").distinct().join(found, "gram", "left").select("gram", "value"), "ppm-wanted")
+        lengths = wanted.where("value IS NOT NULL").unionByName(escaped_values(wanted.where("value IS NULL"), grams, config.order))
+        out = out.join(rest.join(lengths, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("apart_score")), "row", "left")
+        out = out.withColumn("score", F.col("score") + F.coalesce("apart_score", F.lit(0.0)))
+    return out.join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce(F.col("tail_known"), F.lit(0))).alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + F.coalesce(F.col("tail_score"), F.lit(0.0))).alias("base_score"), "score",
     )

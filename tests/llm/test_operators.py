@@ -265,6 +265,42 @@ def test_ppm(spark):
     assert len(have) == len(want) and ppm.score_documents(frame(spark).limit(0)).count() == 0
 
 
+def test_ppm_uses_all_grams(spark):
+    random.seed(3)
+    rows = [(i, "".join(random.choice("abcdeé 日") for _ in range(random.randint(0, 60)))) for i in range(80)] + ODD + [(None, "no id"), (1002, "zzQ unseen \U0001f600")]
+    df = frame(spark, rows)
+    for order in (0, 1, 3, 5):
+        want, got = (
+            sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in ppm.score_documents(df, ppm.PpmConfig(order=order, max_grams=cap)).collect()) for cap in (1 << 20, 5)
+        )
+        for a, b in zip(want, got, strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-6)
+    # Order 5, against brute force.
+    trie = collections.defaultdict(collections.Counter)
+    mark = lambda t: b"\xfe" * 5 + (t or "").translate(LOWER).encode() + b"\xff"
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            for p in range(5, len(s := mark(t))):
+                for k in range(6):
+                    trie[s[p - k : p]][s[p]] += 1
+
+    def code(context, symbol):
+        gone, out = {0xFE}, 0.0
+        for k in range(5, -1, -1):
+            if seen := {x: n for x, n in trie[context[5 - k :]].items() if x not in gone}:
+                whole = sum(seen.values()) + len(seen)
+                if symbol in seen:
+                    return out + math.log10(seen[symbol] / whole)
+                out += math.log10(len(seen) / whole)
+                gone |= set(seen)
+        return out - math.log10(256 - len(gone))
+
+    brute = sorted((str(i), sum(code(s[p - 5 : p], s[p]) for p in range(5, len(s)))) for i, t in rows for s in [mark(t)])
+    have = sorted((a[0], a[4]) for a in got)
+    for (i, x), (j, y) in zip(brute, have, strict=True):
+        assert i == j and x == pytest.approx(y, rel=1e-6)
+
+
 def test_decontamination(spark):
     random.seed(6)
     words = [f"w{i}" for i in range(50)]
