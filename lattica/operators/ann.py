@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut
+from .search import batch_knn
 
 
 def train_centroids(rows: DataFrame, k: int = 100, vector: str = "vector", seed: int = 42, iterations: int = 20, cosine: bool = False) -> np.ndarray:
@@ -109,12 +111,43 @@ class Lsh:
 
         return rows.select(key, vector, F.explode(keys(vector)).alias("bucket"))
 
+    def reach(self, x: np.ndarray, flips: int = 0) -> tuple[np.ndarray, list[list[int]]]:
+        """For each query the distance within which all rows are sure to lie in some table's probed buckets, and these buckets.
+
+        A row beyond a hyperplane is no nearer than that plane. A flip covers a table's nearest plane.
+        """
+        planes = self.planes()
+        gaps = np.sort(np.abs(np.einsum("nd,tbd->ntb", x, planes)) / np.linalg.norm(planes, axis=-1), axis=-1)
+        nearest = gaps[..., min(flips, 1)] if flips < 1 or self.bits > 1 else np.full(gaps.shape[:2], np.inf)
+        best, at = nearest.argmax(-1), np.arange(len(x))
+        keys = self._keys(x, min(flips, 1)).reshape(len(x), -1, self.tables)
+        return nearest[at, best] * (1 - 1e-9), keys[at, :, best].tolist()
+
     def search(self, index: DataFrame, queries: DataFrame, k: int = 10, flips: int = 0, key: str = "id", vector: str = "vector") -> DataFrame:
-        """``query_id, id, distance, rank`` among rows that share a bucket, by exact Euclidean distance."""
-        q = self.index(queries, key, vector, flips).select(F.col(key).alias("query_id"), F.col(vector).alias("q"), "bucket")
-        pairs = index.join(q, "bucket").select("query_id", key, V.distance(F.col(vector), F.col("q")).alias("distance")).distinct()
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key)))
-        return ranked.where(F.col("rank") <= k)
+        """``query_id, id, distance, rank``: the k nearest rows by exact Euclidean distance.
+
+        The buckets of a query's table of farthest reach answer it if they have k rows within that reach (no other table
+        adds one); the other queries are short of candidates and go on to exact search.
+        """
+
+        @F.pandas_udf("reach double, buckets array<bigint>")
+        def probed(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for values in series:
+                reach, buckets = self.reach(np.array(values.tolist(), np.float64).reshape(len(values), -1), flips)
+                yield pd.DataFrame({"reach": reach, "buckets": buckets})
+
+        q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"), probed(vector).alias("p")).select("query_id", "q", "p.reach", F.explode("p.buckets").alias("bucket"))
+        pairs = index.join(q, "bucket").select("query_id", key, V.distance(F.col(vector), F.col("q")).alias("distance"), "reach")
+        inside = pairs.where("distance < reach").drop("reach").distinct()
+        ranked = Window.partitionBy("query_id").orderBy("distance", key)
+        sure = inside.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        sure = cut(sure.withColumn("found", F.count("*").over(Window.partitionBy("query_id"))).where(F.col("found") == k).drop("found"))
+        short = queries.join(sure.select(F.col("query_id").alias(key)).distinct(), key, "left_anti")
+        rows = index.where(F.col("bucket") < 1 << self.bits).select(key, vector).dropDuplicates([key])
+        near = batch_knn(short, rows, k, "euclidean", key, vector).select("query_id", F.col("id").alias(key))
+        near = near.join(rows, key).join(short.select(F.col(key).alias("query_id"), F.col(vector).alias("q")), "query_id")
+        near = near.select("query_id", key, V.distance(F.col(vector), F.col("q")).alias("distance")).withColumn("rank", F.row_number().over(ranked))
+        return sure.unionByName(near)
 
 
 def bucket_stats(index: DataFrame) -> DataFrame:

@@ -71,3 +71,39 @@ def test_lsh_recall(spark):
     got = lsh.search(lsh.index(df), df.where("id % 20 = 0"), 10, flips=5).groupBy("query_id").agg(F.collect_set("id").alias("ids")).collect()
     exact = {q: set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:10].tolist()) for q in range(0, 600, 20)}
     assert np.mean([len(exact[r["query_id"]] & set(r["ids"])) / 10 for r in got]) >= 0.9
+
+
+@pytest.mark.parametrize("name", ["ann_lsh", "ann_lsh_multiprobe"])
+def test_registered_lsh_recall(spark, name):
+    import numpy as np
+
+    from lattica import catalog
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    got = {}
+    for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    ids = [r["vec_id"] for r in rows]
+    exact = {i: {ids[j] for j in np.argsort(((x - x[n]) ** 2).sum(1), kind="stable")[:10]} for n, i in enumerate(ids) if i % 20 == 0}
+    assert set(got) == set(exact) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(exact[i] & set(v)) / 10 for i, v in got.items()]) >= 0.9
+
+
+@pytest.mark.parametrize("flips", [0, 3])
+def test_lsh_is_exact(spark, flips):
+    import numpy as np
+
+    random = np.random.default_rng(7)
+    # Tight groups, whose queries are answered by their buckets, and scattered rows, whose queries aren't.
+    x = np.concatenate([c + 1e-3 * random.standard_normal((20, 8)) for c in random.standard_normal((10, 8))] + [random.standard_normal((40, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    lsh = A.Lsh(8, 6, 4)
+    queries = df.where("id % 5 = 0")
+    got = {}
+    for r in lsh.search(lsh.index(df), queries, 10, flips).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    gaps = {i: np.sqrt(((x - x[i]) ** 2).sum(1)) for i in range(0, len(x), 5)}
+    assert got == {i: np.argsort(d, kind="stable")[:10].tolist() for i, d in gaps.items()}
+    sure = [lsh.reach(x[i : i + 1], flips)[0][0] > np.sort(d)[9] for i, d in gaps.items()]
+    assert any(sure) and not all(sure)
