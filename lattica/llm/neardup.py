@@ -5,29 +5,33 @@ exponentially distributed hashes of the set's elements, as a truncated step of a
 ``K_i = clip(floor(1 - log_b(x_i)), 0, q + 1)``. Sketches of parts merge by the greater register, and with b near
 1 two sets agree in a register with a probability near their Jaccard similarity.
 
-1. Texts with equal shingle sets form a class; its least doc_id stands for it. Only digests are grouped, with
-   partial aggregation, so a class with a third of all rows costs a row per task.
-2. Registers are banded. In every bucket each class is paired with the bucket's least class, never all with all.
+1. Texts with equal shingle sets form a class; a row number stands for it, so that repeated ids can't be mixed up.
+   Only digests are grouped, with partial aggregation, so a class with a third of all rows costs a row per task.
+2. Registers are banded. In every bucket each class is paired with the bucket's head, never all with all. Head is
+   the class whose buckets are the fullest: of edited copies that is the least edited one, which most of the others
+   link to, and the same one heads most of their buckets.
 3. Pairs are kept if sizes allow the threshold and the joint likelihood of both sketches, with the sets' exact
    sizes, doesn't rule it out; then the full sets decide.
 4. Components come from the confirmed links by large-star/small-star rounds over DataFrames.
-5. A bucket whose members are by then in one component is finished. For the texts of the others, shingles that
-   no other of these texts has are counted. With c shingles left of n, a text reaches a text of m shingles at
-   most with similarity c / (n + m - c), so texts that can't reach the threshold with any text of a bucket leave
-   it; that ends nearly all of an edited copy's comparisons without making a pair, and loses no link.
-6. Among the rest, the members of each component meet the least and greatest members of the others, for
-   ``rounds`` rounds; pairs that are still open after that are all compared, so no link that shares a bucket is
-   lost. The 32 bands of 4 registers miss a pair at 0.8 with probability 5e-8.
-
-Nothing is collected: links, components and fingerprints stay DataFrames, cut by tables in the shared folder.
+5. The members of all buckets of one head P form a group. Two of them in different components may still be linked,
+   if at least one isn't linked to P. With D(x) the difference of x and P, x and y are linked if and only if
+   |D(x) ^ D(y)| is small, and because |D| of an unlinked text is large, they must then share more than half of
+   their differences. So texts are joined by prefixes of their differences, rarest within the group first: a pair
+   that is linked shares an element of both prefixes, whichever P is. Edits of different copies rarely agree, so
+   this finds every link of a bucket without making the other pairs.
+6. A pair of the same two groups is made in the first of them only; pairs pass 3, links go to 4 again.
+
+The 32 bands of 4 registers miss a pair at 0.8 with probability 5e-8, the likelihood's floor of 7 deviations with
+less than 1e-9; neither grows with the table. Nothing is collected: links, components and fingerprints stay
+DataFrames, cut by tables in the shared folder.
 
 Defined results
   null or empty text, no words   an empty set: linked with nothing, component of its own
   fewer words than a shingle     the whole sequence is one shingle
-  null doc_id                    an id of its own: never linked, component_id null, kept
-  repeated doc_id                rows with equal id are one document if their sets are equal; others are linked
-                                 like any two documents, and components go by id
-  ties                           the least doc_id stands for a class, bucket and component
+  very long text                 a set like any other; a row holds it whole, 8 bytes a shingle
+  null doc_id                    linked with nothing, component_id null, kept
+  repeated doc_id                every row is a document of its own: rows of one id may be in different components
+  ties                           the least doc_id stands for a component; of heads equally full the first row
   empty table                    no rows
   other columns                  ``near_duplicates`` reads doc_id and text only
 """
@@ -41,7 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -58,8 +62,7 @@ class SketchConfig:
     steps: int = 65534  # q: registers go from 0 to q + 1 and fit in 16 bits
     rate: float = 20.0  # of the exponential distribution
     seed: int = 20240229
-    slack: float = 5.0  # standard deviations that an estimate may lie below the threshold
-    rounds: int = 2
+    slack: float = 7.0  # standard deviations that an estimate may lie below the threshold
     block_bytes: int = 2_000_000
 
     @property
@@ -149,18 +152,20 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def fingerprints(docs: DataFrame, config: SketchConfig) -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch, bands``: digest of the set, registers as bytes, and a hash per band."""
-    schema = "doc_id bigint, n_shingles bigint, digest binary, sketch binary, bands array<bigint>"
+    """``doc_id, mark, n_shingles, digest, sketch, bands``: a hash of the text, digest of the set, registers as bytes, and a hash per band."""
+    schema = "doc_id bigint, mark bigint, n_shingles bigint, digest binary, sketch binary, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _column(batch, "text").to_pylist()
-            ids = _column(batch, "doc_id")
             for lo, hi in slices(texts, [len(t or "") for t in texts], config.block_bytes):
                 sets = [shingle_hashes(t, config.shingle) for t in texts[lo:hi]]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                digests: list[bytes | None] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 packed: list[bytes | None] = [None] * len(sets)
                 bands: list[list[int]] = [[] for _ in sets]
                 if full:
@@ -171,18 +176,36 @@ def fingerprints(docs: DataFrame, config: SketchConfig) -> DataFrame:
                     keys = keys.view(np.int64)
                     for i, r, key in zip(full, registers, keys):
                         packed[i], bands[i] = r.tobytes(), key.tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "sketch", "bands"],
-                )
+                own = [_column(batch, c).slice(lo, hi - lo) for c in ("doc_id", "mark")]
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(own + made, ["doc_id", "mark", "n_shingles", "digest", "sketch", "bands"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, config: SketchConfig) -> DataFrame:
+    """``node, shingles`` of ``wanted(node, doc_id, digest)``; of rows with a repeated id, those whose set has the digest."""
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, digests, texts = (_column(batch, c) for c in ("node", "digest", "text"))
+            for lo, hi in slices(texts, [len(t) for t in texts.to_pylist()], config.block_bytes):
+                found = []
+                for i in range(lo, hi):
+                    shingles = shingle_hashes(texts[i].as_py(), config.shingle)
+                    if _digest(shingles) == digests[i].as_py():
+                        found.append((nodes[i].as_py(), shingles.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    # Equal rows of an id give equal sets.
+    return texts.select("node", "digest", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
-def _likely(pairs: DataFrame, prints: DataFrame, config: SketchConfig) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, config: SketchConfig) -> DataFrame:
     """Of ``a, b``, the pairs that sizes and likelihood leave possible."""
-    side = lambda x: prints.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     both = both.where(100 * F.least("n_a", "n_b") >= config.threshold * F.greatest("n_a", "n_b"))
     j = config.threshold / 100
     floor = j - config.slack * math.sqrt(j * (1 - j) / config.registers)
@@ -200,27 +223,28 @@ def _likely(pairs: DataFrame, prints: DataFrame, config: SketchConfig) -> DataFr
     return both.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, config: SketchConfig) -> DataFrame:
-    """Of ``a, b``, the pairs whose full sets reach the threshold. Pairs of a representative are read together, so its set is made once."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def _is_link(common: int, m: int, n: int, config: SketchConfig) -> bool:
+    return 100 * common >= config.threshold * (m + n - common)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:
+    """Of ``a, b``, the pairs whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, ta, tb = (_column(batch, c) for c in ("a", "b", "t_a", "t_b"))
-            out_a, out_b = [], []
+            a, b, sa, sb = (_column(batch, c) for c in ("a", "b", "s_a", "s_b"))
+            keep = []
             for i in range(batch.num_rows):
-                if last != (x := a[i].as_py()):
-                    last, own = x, shingle_hashes(ta[i].as_py(), config.shingle)
-                other = shingle_hashes(tb[i].as_py(), config.shingle)
-                both_have = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both_have >= config.threshold * (len(own) + len(other) - both_have):
-                    out_a.append(x)
-                    out_b.append(b[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                x, y = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (sa, sb))
+                keep.append(_is_link(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), config))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -243,88 +267,105 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Bucket members with their component; one without links is its own."""
-    known = found.withColumnRenamed("node", "doc_id")
-    return members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    """Members with their component; one without links is its own."""
+    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Members of buckets with more than one component."""
-    ends = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return labelled.join(ends.select("bucket"), "bucket", "left_semi")
+def _several(members: DataFrame, *keys: str) -> DataFrame:
+    """Members that share ``keys`` with one of another component whom they meet nowhere else: not in the group ``first`` of both."""
+    ends = members.groupBy(*keys).agg(*(f(c).alias(f"{c}_{n}") for c in ("component", "first") for n, f in (("lo", F.min), ("hi", F.max))))
+    open_ = ends.where((F.col("component_lo") < F.col("component_hi")) & ((F.col("first_lo") < F.col("first_hi")) | (F.col("first_lo") == F.col("head"))))
+    return members.join(open_.select(*keys), [*keys], "left_semi")
 
 
-def _reachable(members: DataFrame, texts: DataFrame, sizes: DataFrame, config: SketchConfig) -> DataFrame:
-    """Of ``bucket, doc_id``, those that may link to a member of their bucket, with size and common (shingles that another of ``texts`` has)."""
+def _differences(members: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:
+    """``head, node, e, weight, size, far`` of ``members(head, node)``: a row for every element e of D(node), with the length
+    of D, ``weight`` = (100 + t) |D| - (100 - t) |node|, and whether the node isn't linked to the head.
+
+    Two nodes are linked if and only if they share at least (weight + weight') / (2 (100 + t)) differences.
+    """
+    t = config.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "text").to_pylist()):
-                # 32 bits of the hash: a collision makes a shingle look shared, which keeps a text, never drops it.
-                h = np.unique(shingle_hashes(text, config.shingle).astype(np.uint32)).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], ["doc_id", "h"])
-
-    own = texts.dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id bigint, h int")
-    lonely = own.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("lonely"))
-    known = sizes.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").join(lonely, "doc_id", "left")
-    known = known.select("doc_id", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("common"))
-    alive = known.where(100 * F.col("common") >= config.threshold * F.col("size"))
-    out = members.join(alive, "doc_id")
-    # common / (size + m - common) >= t means m <= common * (1 + t) / t - size.
-    limit = F.col("common") * (100 + config.threshold) - config.threshold * F.col("size")
-    for _ in range(2):  # those that leave may have been the bucket's least
-        least = out.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("k")).where("k > 1")
-        out = out.join(least, "bucket").where(limit >= config.threshold * F.col("least")).drop("least", "k")
-    return out
+            head, node, sa, sb = (_column(batch, c) for c in ("a", "b", "s_a", "s_b"))
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (sa, sb))
+                d = np.setxor1d(x, y, assume_unique=True)
+                far = not _is_link((len(x) + len(y) - len(d)) // 2, len(x), len(y), config)
+                same = lambda v, kind: pa.array([v] * len(d), kind)
+                columns = [same(head[i].as_py(), pa.int64()), same(node[i].as_py(), pa.int64()), pa.array(d.view(np.int64))]
+                columns += [same((100 + t) * len(d) - (100 - t) * len(y), pa.int64()), same(len(d), pa.int64()), same(far, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["head", "node", "e", "weight", "size", "far"])
+
+    pairs = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(run, "head bigint, node bigint, e bigint, weight bigint, size bigint, far boolean")
+
+
+def _meetings(members: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:
+    """``a, b``: pairs of members(head, node, component, first) of a group that share enough of their differences' prefixes to be linked."""
+    unit = 2 * (100 + config.threshold)
+    rows = materialize(_differences(members, sets, config), "neardup-differences")
+    # Elements that only one member has are first in its order and meet nothing: they count, but aren't moved.
+    shared = rows.groupBy("head", "e").agg(F.count("*").alias("n")).where("n > 1")
+    texts = rows.select("head", "node", "weight", "far").distinct()
+    bounds = texts.groupBy("head").agg(F.min(F.when(F.col("far"), F.col("weight"))).alias("far_least"), F.min(F.when(~F.col("far"), F.col("weight"))).alias("near_least")).where("far_least IS NOT NULL")
+    order = Window.partitionBy("head", "node").orderBy(F.desc("n"), F.desc("e"))
+    ranked = rows.join(shared, ["head", "e"]).withColumn("at", F.col("size") - F.row_number().over(order))
+    ranked = ranked.join(bounds, "head")
+    # With at least k shared elements, the first size - k + 1 elements of both have one of them.
+    first_with = lambda least: F.col("size") - F.ceil((F.col("weight") + F.col(least)) / unit) + 1
+    ranked = ranked.withColumn("to_far", first_with("far_least")).withColumn("to_near", F.when(F.col("far"), first_with("near_least")))
+    ranked = ranked.where("at < greatest(to_far, to_near)").drop("n", "far_least", "near_least")
+    ranked = materialize(ranked.join(members.select("head", "node", "component", "first"), ["head", "node"]), "neardup-prefixes")
+    some = _several(ranked, "head", "e")
+    some = materialize(some, "neardup-shared")
+    other = some.where("far").select("head", "e", *(F.col(c).alias(f"{c}_2") for c in ("node", "component", "first", "weight", "size", "at", "to_far", "to_near")))
+    # Pairs of two far members are made once, a near member meets the far ones.
+    ask = (F.col("component") != F.col("component_2")) & ((F.col("first") != F.col("first_2")) | (F.col("first") == F.col("head")))
+    far = F.col("far") & (F.col("node") < F.col("node_2")) & (F.col("at_2") < F.col("to_far_2"))
+    near = ~F.col("far") & (F.col("at_2") < F.col("to_near_2"))
+    left = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))
+    enough = unit * left >= F.col("weight") + F.col("weight_2")
+    met = some.join(other, ["head", "e"]).where(ask & (F.col("at") < F.col("to_far")) & (far | near) & enough)
+    return met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, config: SketchConfig = SketchConfig()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``."""
+    """``doc_id, n_shingles, component_id, kept, mark`` of every row of ``docs(doc_id, text)``; mark is the text's xxhash64."""
     prints = materialize(fingerprints(docs, config), "neardup-prints")
-    classes = prints.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(classes, "neardup-classes")
-    # The print and text of a class are those of its representative; of repeated ids with other sets, each keeps its digest.
-    reps = prints.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
-    reps = materialize(reps.select("doc_id", "n_shingles", "sketch", "bands"), "neardup-representatives")
-    texts = docs.select("doc_id", "text")
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(buckets.join(heads, "bucket").select("bucket", "head", "n", "doc_id"), "neardup-buckets")
+    known = prints.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "neardup-classes")  # from here on the row numbers are fixed
+    reps = known.select("doc_id", "digest", "sketch", "bands").join(classes, ["digest", "doc_id"]).dropDuplicates(["node"])
+    reps = materialize(reps.select("node", "doc_id", "digest", "n_shingles", "sketch", "bands"), "neardup-representatives")
+    buckets = reps.select("node", F.explode("bands").alias("bucket"))
+    buckets = materialize(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "neardup-buckets")
+    fullness = materialize(buckets.groupBy("node").agg(F.sum("n").alias("fullness")), "neardup-fullness")
+    heads = buckets.join(fullness, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("fullness"), "node")).alias("head"))
+    pairs = buckets.join(heads, "bucket").where("head.node <> node").select(F.col("head.node").alias("head"), "node").distinct()
+    pairs = materialize(pairs, "neardup-members")
+    wanted = reps.select("node", "doc_id", "digest").join(fullness.select("node"), "node", "left_semi")
+    sets = materialize(_sets(docs, wanted, config), "neardup-sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        """Confirmed links; texts are cut to those of candidates before they move."""
-        likely = materialize(_likely(pairs.distinct(), reps, config), "neardup-likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        needed = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return materialize(_confirmed(likely, needed, config), "neardup-links")
+        likely = materialize(_likely(pairs, reps, config), "neardup-likely")
+        return materialize(_confirmed(likely, sets, config), "neardup-links")
 
-    links = links_of(buckets.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    links = links_of(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")))
     found = components(links)
-    large = buckets.where("n > 2").select("bucket", "doc_id")  # in a bucket of two, the pair has been compared
-    mixed = materialize(_mixed(_labelled(large, found)), "neardup-mixed").select("bucket", "doc_id")
-    texts_left = texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")
-    open_ = materialize(_reachable(mixed, texts_left, reps.select("doc_id", "n_shingles"), config), "neardup-open")
-    left = config.rounds
-    while True:
-        labelled = _mixed(_labelled(open_, found))
-        if left:  # the least and the greatest member meet the members of other components
-            ends = labelled.groupBy("bucket").agg(F.min(F.struct("component", "doc_id")).alias("first"), F.max(F.struct("component", "doc_id")).alias("last"))
-            met = labelled.join(ends, "bucket").select("doc_id", "component", F.explode(F.array("first", "last")).alias("x"))
-            pairs = met.where("x.component <> component").select(F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        else:  # whatever is still open, pair by pair across components
-            other = labelled.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("size").alias("m"), F.col("common").alias("d"))
-            shared = F.least("common", "d")
-            can = 100 * shared >= config.threshold * (F.col("size") + F.col("m") - shared)
-            pairs = labelled.withColumnRenamed("doc_id", "a").alias("l").join(other.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("component") < F.col("other")) & can).select("a", "b")
-        more = links_of(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        new = more.limit(1).count()
-        if new:
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        if not left:
-            break
-        left = left - 1 if new else 0  # without new links another round would ask the same
-    final = found.withColumnRenamed("node", "class_id")
-    classed = classes.join(final, "class_id", "left").select("digest", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
-    joined = prints.select("doc_id", "n_shingles", "digest").join(classed, ["digest", "n_shingles"], "left")
+    # A node's first group is that of its fullest head; there it meets the members that are in several groups with it.
+    ranked_heads = pairs.join(fullness.withColumnRenamed("node", "head"), "head")
+    first = ranked_heads.groupBy("node").agg(F.min(F.struct(-F.col("fullness"), "head")).alias("first")).select("node", F.col("first.head").alias("first"))
+    members = materialize(_labelled(pairs, found).join(first, "node"), "neardup-labelled")
+    members = materialize(_several(members, "head"), "neardup-open")
+    more = links_of(_meetings(members, sets, config))
+    if more.limit(1).count():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    classed = _labelled(classes, found)
+    least = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classed = classed.join(least, "component").select("digest", "n_shingles", "component_id")
+    joined = prints.select("doc_id", "mark", "n_shingles", "digest").join(classed, ["digest", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    joined = joined.select("doc_id", "n_shingles", component.alias("component_id"), "mark")
+    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark")

@@ -134,33 +134,74 @@ def test_quality(spark):
     assert quality.apply_quality_rules(frame(spark)).where("kept").count() == 0 and quality.apply_quality_rules(frame(spark).limit(0)).count() == 0
 
 
-def components(rows, size, threshold=80):
-    sets = {}
-    for i, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
-    least = {i: i for i in sets}
-    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
-    for _ in sets:
-        for a, b in links:
-            least[a] = least[b] = min(least[a], least[b])
-    return {i: (len(sets[i]), least[i]) for i in sets}
-
-
-def test_near_duplicates(spark):
+def near_components(rows, size):
+    """Brute force: rows of (doc_id, text) as (doc_id, text, n_shingles, component_id), every row a document of its own."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for _, t in rows]
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if None not in (rows[i][0], rows[j][0]) and both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            group[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), d), d) if d is not None else None
+    return collections.Counter((d, t, len(sets[i]), least[top(i)]) for i, (d, t) in enumerate(rows))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_near_duplicates(spark, parts):
     random.seed(5)
     words = [f"w{i}" for i in range(2000)]
-    base = [random.choice(words) for _ in range(60)]
     rows = []
-    for i in range(60):
-        w = list(base)
-        for _ in range(random.choice([0, 1, 2, 3, 4])):
-            w[random.randrange(60)] = random.choice(words)
-        rows.append((i, " ".join(w)))
-    rows += [(100 + i, t) for i, t in enumerate(["", None, "a", "A", "a b", "a  B\n", "a b c", "b a", "same same same", "same same"])]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_shingles", F.lit("clash"))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, neardup.SketchConfig(shingle=2, rounds=1)).collect()}
-    assert got == components(rows, 2)
+    # Copies edited to either side of the threshold, so that some meet no link with the least edited one.
+    for start, n, edits in ((0, 60, (0, 1, 2, 3, 4)), (1000, 90, (0, 2, 4, 5, 6, 7))):
+        base = [random.choice(words) for _ in range(60)]
+        for i in range(n):
+            w = list(base)
+            for _ in range(random.choice(edits)):
+                w[random.randrange(60)] = random.choice(words[:40])
+            rows.append((start + i, " ".join(w)))
+    rows += [(200 + i, t) for i, t in enumerate(["", None, "a", "A", "a b", "a  B\n", "a b c", "b a", "same same same", "same same"])]
+    long = " ".join(random.choice(words) for _ in range(20000))
+    rows += [(300, long), (301, long.replace(" w7 ", " x ")), (302, long + " end"), (None, long), (None, None)]
+    one, two = (" ".join(random.choice(words) for _ in range(50)) for _ in range(2))
+    rows += [(401, one), (402, two), (405, one + " more"), (405, two + " more"), (405, two + " more"), (406, two + " more"), (1010, one)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_shingles", F.lit("clash")).repartition(parts)
+    marks = {r["mark"]: r["text"] for r in df.select("text", F.xxhash64("text").alias("mark")).collect()}
+    got = neardup.near_duplicates(df, neardup.SketchConfig(shingle=2)).collect()
+    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+    assert collections.Counter((r["doc_id"], marks[r["mark"]], r["n_shingles"], r["component_id"]) for r in got) == near_components(rows, 2)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert neardup.near_duplicates(frame(spark).limit(0)).count() == 0
+    assert {r["component_id"] for r in neardup.near_duplicates(frame(spark, [(1, None), (2, " ")])).collect()} == {1, 2}
+
+
+def test_prefixes_find_every_link(spark):
+    """Members of one group: the join of prefixes finds each link between components, and far fewer pairs than there are."""
+    rng = np.random.default_rng(3)
+    head = rng.choice(1 << 62, 120, replace=False).astype(np.uint64)
+    pool = rng.choice(1 << 62, 300, replace=False).astype(np.uint64)
+    sets = [np.unique(head)]
+    for _ in range(150):
+        k = int(rng.integers(1, 22))
+        sets.append(np.unique(np.concatenate([rng.choice(head, 120 - k, replace=False), rng.choice(pool, k, replace=False)])))
+    linked = lambda a, b: neardup._is_link(len(np.intersect1d(a, b)), len(a), len(b), config)
+    config = neardup.SketchConfig()
+    found = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node bigint, shingles binary")
+    label = [0 if linked(sets[0], s) else i for i, s in enumerate(sets)]
+    members = spark.createDataFrame([(0, i, label[i], 0) for i in range(1, len(sets))], "head bigint, node bigint, component bigint, first bigint")
+    met = {(r["a"], r["b"]) for r in neardup._meetings(members, found, config).collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(1, len(sets)), 2) if label[i] != label[j] and linked(sets[i], sets[j])}
+    assert want and want <= met and len(met) < 2000
 
 
 def test_setsketch_estimates():
