@@ -33,8 +33,10 @@ def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates by five-word shingles, the document of least id."""
     found = neardup.near_duplicates(docs, neardup.SketchConfig(shingle=5, threshold=80))
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    # Of rows with one id and different texts, each is judged by its own text.
+    dropped = found.where(~F.col("kept")).select("doc_id", "mark").distinct()
+    marked = docs.select(*COLUMNS).withColumn("mark", F.xxhash64("text"))
+    return marked.join(dropped, ["doc_id", "mark"], "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
