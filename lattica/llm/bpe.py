@@ -5,13 +5,15 @@ order. Two levels of 256-bit words say which buckets hold anything, so the lowes
 find-first-set steps. Entries whose pair has changed since are skipped when they surface. A merge costs a
 constant number of queue steps whatever the pre-token's length, so a pre-token of megabytes is no trouble.
 
-Pre-tokens repeat, so each worker keeps the ids of those it has met, up to ``CACHED`` of them. New ones
-of a block of texts go through one queue together: their lists lie side by side, a bucket holds positions
-of all of them, and a step merges the leftmost position of every pre-token in the bucket with array
-operations. Long pre-tokens go through the queue alone.
+Pre-tokens repeat, so a task keeps the ids of those it has met, up to ``CACHE_BYTES``, and drops them when its
+partition ends. New ones of a block of texts go through one queue together: their lists lie side by side, a bucket
+holds positions of all of them, and a step merges the leftmost position of every pre-token in the bucket with array
+operations. Long pre-tokens, and those of blocks with few new ones, go through the queue alone; both ways give
+the same ids, which the tests compare.
 
 Defined results
   null or empty text    no ids; the decoded bytes are empty
+  very long text        a block of its own; time and memory grow with its length, whatever its pre-tokens' lengths
   characters unassigned in this Python's Unicode tables   neither letters nor digits
   ties                  of equal ranks the leftmost pair merges first
   repeated rows         encoded each on its own
@@ -41,10 +43,11 @@ from .common import slices
 #: The characters of the property White_Space, as ranges.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-CACHED = 1_000_000  # pre-tokens in a worker's cache
+CACHE_BYTES = 24 << 20  # of a task's cache, besides the block at hand
+ENTRY_BYTES = 190  # of an entry beside its characters and ids
 LONG_PIECE = 2048  # bytes of a pre-token that goes through the queue alone
 FEW_PIECES = 48  # fewer new pre-tokens go through it one by one
-BLOCK = 6_000_000  # characters of the texts that are looked at together
+BLOCK = 1_500_000  # characters of the texts that are looked at together
 
 
 @lru_cache(maxsize=4)
@@ -147,7 +150,14 @@ class Encoder:
         ]
         table = np.array(sorted(found), np.int64).reshape(-1, 2)
         self._pair_keys, self._pair_ranks = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+        # Two generations: entries that the younger one asks for move there, the others go when it is full.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the younger one
+
+    def release(self) -> None:
+        """Forget all pre-tokens."""
+        self.cache, self.older, self.held = {}, {}, 0
 
     def pattern_for(self, text: str) -> re.Pattern:
         """The pattern to use for a text; both give the same pre-tokens on texts without odd characters."""
@@ -164,18 +174,24 @@ class Encoder:
 
     def learn(self, *lists: list[str]) -> None:
         """Have the ids of all pre-tokens of some lists in the cache."""
-        fresh = set().union(*lists)
-        new = fresh.difference(self.cache)
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = fresh
+        if self.held > CACHE_BYTES // 2:
+            self.cache, self.older, self.held = {}, self.cache, 0
+        cache, older = self.cache, self.older
+        new = set().union(*lists).difference(cache)
+        if older and new:
+            again = {p: older[p] for p in new if p in older}
+            cache.update(again)
+            new = new.difference(again)
+            self.held += sum(map(len, again)) + sum(map(len, again.values())) + ENTRY_BYTES * len(again)
         if new:
             coded = [(p, p.encode("utf-8", "replace")) for p in new]
             together = [x for x in coded if len(x[1]) <= LONG_PIECE] if len(coded) >= FEW_PIECES else []
-            self.cache.update(zip((p for p, _ in together), self.merge_many([b for _, b in together])))
+            ids = dict(zip((p for p, _ in together), self.merge_many([b for _, b in together])))
             for p, b in coded:
                 if not together or len(b) > LONG_PIECE:
-                    self.cache[p] = np.array(self.merge(b), "<u4").tobytes()
+                    ids[p] = np.array(self.merge(b), "<u4").tobytes()
+            cache.update(ids)
+            self.held += sum(len(b) for _, b in coded) + sum(map(len, ids.values())) + ENTRY_BYTES * len(ids)
 
     def counts(self, pieces: list[str]) -> list[int]:
         """Tokens of pre-tokens that the cache has."""
@@ -312,7 +328,7 @@ _encoders: dict[tuple[int, str], Encoder] = {}
 
 
 def encoder(rank_file: bytes, pattern: str) -> Encoder:
-    """This process's encoder; it and its cache outlive a task."""
+    """This process's encoder; its tables, of the vocabulary's size, outlive a task, and whoever uses it releases its cache."""
     key = (hash(rank_file), pattern)
     if key not in _encoders:
         _encoders.clear()
@@ -331,6 +347,12 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks.value, pattern)
+        try:
+            yield from coded(bpe, batches)
+        finally:
+            bpe.release()
+
+    def coded(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             texts = [x or "" for x in column.to_pylist()]

@@ -7,7 +7,9 @@ change pre-token boundaries, then updates the sums on the paths to the root.
 Why that is enough: a match of the pre-token pattern depends on the text from its start to two characters
 beyond its end at most (a contraction's second letter, the character after a run of white space), so a
 pre-token that ends two characters before the edit stays. The pattern never looks back, so once the new
-scan meets an old block boundary behind the edit, all that follows is as before.
+scan meets an old block boundary behind the edit, all that follows is as before. However long an insertion is, only
+its own pre-tokens, the context and the blocks at both ends are encoded; where it needs more blocks, they go
+between the old ones.
 
 State columns: n_tokens and tree, an array of 2 * capacity * 2 numbers (characters and tokens by node, node 1
 is the root, leaf i is node capacity + i). Counting is a narrow step: documents don't move.
@@ -18,6 +20,7 @@ Defined results
   edits out of range      positions and lengths are cut to the text as it is when their turn comes
   ties                    edits apply in the order given, each to the result of those before it
   repeated rows           rows are counted each on its own
+  very long text          a tree of 1/16 of its pre-tokens; an edit's work doesn't depend on the text's length but for copying it
   empty table             no rows
   other columns           carried along; a column named as one that an operator adds is replaced
 """
@@ -43,12 +46,19 @@ EDITS = "array<struct<start:int,length:int,insert:string>>"
 
 def build_tree(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Segment tree over pre-tokens with these characters and tokens; rows are nodes, columns characters and tokens."""
-    starts = np.arange(0, max(len(sizes), 1), LEAF)
-    capacity = 1 << max(len(starts) - 1, 0).bit_length()
+    return tree_over(leaves_of(sizes, counts))
+
+
+def leaves_of(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of characters and tokens for every ``LEAF`` pre-tokens."""
+    starts = np.arange(0, len(sizes), LEAF)
+    return np.stack([np.add.reduceat(x, starts) for x in (sizes, counts)], axis=1) if len(sizes) else np.zeros((0, 2), np.int64)
+
+
+def tree_over(leaves: np.ndarray) -> np.ndarray:
+    capacity = 1 << max(len(leaves) - 1, 0).bit_length()
     tree = np.zeros((2 * capacity, 2), np.int64)
-    if len(sizes):
-        tree[capacity : capacity + len(starts), 0] = np.add.reduceat(sizes, starts)
-        tree[capacity : capacity + len(starts), 1] = np.add.reduceat(counts, starts)
+    tree[capacity : capacity + len(leaves)] = leaves
     while capacity > 1:
         half = capacity // 2
         tree[half:capacity] = tree[capacity : 2 * capacity : 2] + tree[capacity + 1 : 2 * capacity : 2]
@@ -126,14 +136,16 @@ class CountedText:
                 break
         self.bpe.learn(pieces)
         self.encoded += len(pieces)
+        fresh = leaves_of(np.array(sizes, np.int64), np.array(self.bpe.counts(pieces), np.int64))
         slots = last - first + 1
-        if len(pieces) > 4 * LEAF * slots:
-            return self._rebuild()
-        counts, per = self.bpe.counts(pieces), -(-len(pieces) // slots) or 1
-        for slot in range(slots):
-            lo, hi = slot * per, min((slot + 1) * per, len(pieces))
-            node = capacity + first + slot
-            tree[node] = sum(sizes[lo:hi]), sum(counts[lo:hi])
+        if len(fresh) > slots:
+            # New leaves go between the old ones, whose sums stay as they are; none of their text is encoded again.
+            leaves = tree[capacity:]
+            leaves = np.concatenate([leaves[:first], fresh, leaves[last + 1 :]])
+            self.tree = tree_over(leaves[leaves[:, 0] > 0])
+            return
+        tree[capacity + first : capacity + last + 1] = 0
+        tree[capacity + first : capacity + first + len(fresh)] = fresh
         lo, hi = (capacity + first) // 2, (capacity + last) // 2
         while lo:
             tree[lo : hi + 1] = tree[2 * lo : 2 * hi + 2 : 2] + tree[2 * lo + 1 : 2 * hi + 2 : 2]
@@ -157,6 +169,12 @@ def count_tokens(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks.value, pattern)
+        try:
+            yield from counted(bpe, batches)
+        finally:
+            bpe.release()
+
+    def counted(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in _column(batch, text).to_pylist()]
             trees = []
@@ -178,6 +196,12 @@ def apply_edits(counted: DataFrame, rank_path: str, pattern: str, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks.value, pattern)
+        try:
+            yield from edited(bpe, batches)
+        finally:
+            bpe.release()
+
+    def edited(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: list[CountedText] = []
             for value, tree, changes in zip(_column(batch, text), _column(batch, "tree"), _column(batch, edits)):
