@@ -1,12 +1,15 @@
 """Content-addressed WARC archive.
 
-Payload bytes are stored once under their SHA-256; the exact header block of every record is stored
-apart; a join on the digest gives the original records back.
+Payload bytes are stored once under their SHA-256; the exact header block of every record (the WARC header and the
+HTTP response head before the payload) is stored apart; a join on the digest gives the original records back,
+which are WARC/1.1 records byte for byte. Pages have no time of capture, so the records' date is a parameter.
 
 Defined results
   null html       an empty payload (0 bytes), deduplicated like any other when ``min_bytes`` is 0
   null url        the header ``WARC-Target-URI`` is left out
-  null page_id    the record is written without an id and never becomes the target of a revisit,
+  odd url         control characters are percent-encoded in ``WARC-Target-URI``, and ``X-Exact-URI`` has the url in base64
+  long payload    stored and read like any other; a row holds it whole
+  null page_id    the record's id is made of a digest of url and payload, and it never becomes the target of a revisit,
                   unless all records with its payload lack one; then all of those are responses
   repeated rows   rows with the same page_id and payload are records of the same kind
   ties            none: of records with equal payloads the largest page_id is the response
@@ -29,6 +32,12 @@ RADIX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 CRLF = "\r\n"
 
+#: The profile of WARC/1.1 for revisits of equal payloads, and the head put before each payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP_HEAD = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=UTF-8" + CRLF * 2
+PAGE, NAMELESS = "urn:page:", "urn:nameless:"
+HEAD_BYTES = 8192  # headers are looked for in so many bytes first
+
 
 def base32_of_sha1(hex_digest: Column) -> Column:
     """Bare upper-case base32 of a 40-digit hexadecimal SHA-1: four groups of 40 bits, eight letters each."""
@@ -48,7 +57,7 @@ def _line(name: str, value: Column) -> Column:
     return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(name + ": "), value.cast("string"), F.lit(CRLF)))
 
 
-def write_archive(pages: DataFrame, min_bytes: int = 0, stored: bool = True) -> Archive:
+def write_archive(pages: DataFrame, min_bytes: int = 0, stored: bool = True, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """Write a record for every row of ``pages(page_id, url, html)``.
 
     One aggregation finds each payload's owner and keeps its bytes: partial aggregation comes first, so a
@@ -69,12 +78,17 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, stored: bool = True) ->
     typed = records.select("page_id", "url", *key).join(payloads.select("owner", *key), key)
     typed = typed.withColumn("refers_to", F.when(revisit, F.col("owner")))
     kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
+    name = F.coalesce(F.concat(F.lit(PAGE), F.col("page_id").cast("string")), F.concat(F.lit(NAMELESS), F.sha2(F.concat_ws(" ", "sha256", "url"), 256)))
+    odd = F.col("url").rlike("[\\x00-\\x1F\\x7F]")
+    plain = F.when(odd, F.url_encode("url")).otherwise(F.col("url"))
+    size = F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")) + len(HTTP_HEAD)
     head = F.concat(
-        F.lit("WARC/1.1" + CRLF), _line("WARC-Type", kind), _line("WARC-Record-ID", F.col("page_id")),
-        _line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "%0A")), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        _line("WARC-Payload-Length", F.col("payload_bytes")), _line("WARC-Refers-To", F.col("refers_to")),
-        F.when(kind == "revisit", F.lit("WARC-Profile: identical-payload-digest" + CRLF)).otherwise(F.lit("")),
-        _line("Content-Length", F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))), F.lit(CRLF),
+        F.lit("WARC/1.1" + CRLF), _line("WARC-Type", kind), _line("WARC-Record-ID", F.concat(F.lit("<"), name, F.lit(">"))), _line("WARC-Date", F.lit(date)),
+        _line("WARC-Target-URI", plain), _line("X-Exact-URI", F.when(odd, F.base64(F.col("url").cast("binary")))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), _line("X-Payload-Length", F.col("payload_bytes")),
+        _line("WARC-Refers-To", F.concat(F.lit("<" + PAGE), F.col("refers_to").cast("string"), F.lit(">"))),
+        F.when(kind == "revisit", F.lit(f"WARC-Profile: {PROFILE}{CRLF}")).otherwise(F.lit("")),
+        _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", size), F.lit(CRLF + HTTP_HEAD),
     )
     headers = typed.select("page_id", "sha256", kind.alias("record_type"), head.cast("binary").alias("header"))
     return Archive(materialize(headers, "warc-headers") if stored else headers, payloads.select("sha256", "payload"))
@@ -103,21 +117,24 @@ def full_payloads(archive: Archive) -> DataFrame:
 
 def parse_records(records: DataFrame) -> DataFrame:
     """Fields read back from the bytes of whole records; the payload's figures are computed from it where it is there."""
-    cut = F.instr(F.decode("record", "ISO-8859-1"), CRLF * 2)
-    parts = records.select("record", cut.alias("cut")).select(
-        F.decode(F.substring("record", F.lit(1), F.col("cut") - 1), "UTF-8").alias("head"), "record", "cut"
-    )
+    end_in = lambda data: F.instr(F.decode(data, "ISO-8859-1"), CRLF * 2)  # noqa: E731  one character a byte
+    near = end_in(F.substring("record", 1, HEAD_BYTES))
+    cut = F.when(near > 0, near).otherwise(end_in(F.col("record")))
+    parts = records.select("record", cut.alias("cut")).select(F.decode(F.substring("record", F.lit(1), F.col("cut") - 1), "UTF-8").alias("head"), "record", "cut")
 
     def field(name: str) -> Column:
         value = F.regexp_extract("head", f"(?m)^{name}: ([^\\r\\n]*)\\r?$", 1)
         return F.when(value == "", None).otherwise(value)
 
+    def page(name: str) -> Column:
+        return F.nullif(F.regexp_extract(field(name), f"^<{PAGE}(-?[0-9]+)>$", 1), F.lit("")).cast("long")
+
     got = parts.select(
-        field("WARC-Record-ID").cast("long").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"),
-        field("WARC-Payload-Length").cast("long").alias("said_bytes"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("said_digest"),
-        field("WARC-Refers-To").cast("long").alias("refers_to"), field("Content-Length").cast("long").alias("content_length"), "record", "cut",
+        page("WARC-Record-ID").alias("page_id"), F.coalesce(F.unbase64(field("X-Exact-URI")).cast("string"), field("WARC-Target-URI")).alias("url"),
+        field("WARC-Type").alias("record_type"), field("X-Payload-Length").cast("long").alias("said_bytes"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("said_digest"),
+        page("WARC-Refers-To").alias("refers_to"), field("Content-Length").cast("long").alias("content_length"), "record", "cut",
     )
-    body = F.substring("record", F.col("cut") + 4, F.col("content_length").cast("int"))
+    body = F.substring("record", F.col("cut") + 4 + len(HTTP_HEAD), (F.col("content_length") - len(HTTP_HEAD)).cast("int"))
     here = F.col("record_type") == "response"
     return got.withColumn("payload", F.when(here, body)).select(
         "page_id", "url", "record_type", "refers_to", "payload",
