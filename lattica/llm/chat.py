@@ -2,10 +2,12 @@
 
 A window holds a turn-aligned span of a conversation. Prefix sums of turn tokens choose the spans: a turn
 belongs to the span ``floor((prefix sum through it - 1) / span_tokens)``, and a turn longer than
-``long_tokens`` is a span of its own, so a span has ``span_tokens + long_tokens`` tokens at most unless it
-is one long turn. Every window after the first repeats the system turn and up to ``history_turns`` turns
-(``history_tokens`` tokens) before its span. Assistant turns of the span are targets; repeated ones are
-masked. Turns are never cut.
+``long_tokens`` is a span of its own, so a span has less than ``span_tokens + long_tokens`` tokens unless it
+is one long turn. Every window after the first repeats the system turn and up to ``history_turns`` turns before its
+span, as far as they fit into ``history_tokens`` and, with the span and the system turn, into ``budget_tokens``.
+So only a long turn or a long system turn can bring a window over the budget. Assistant turns of the span are
+targets; repeated ones are masked. Turns are never cut. Tokens are estimated: runs of non-blank characters, or a
+quarter of the bytes if that is more, so that scripts without blanks count too.
 
 Prefix sums are taken in two levels (blocks of ``block_turns`` turn numbers, then blocks of the
 conversation), so a conversation with a third of all rows is spread over many tasks, and no step collects
@@ -20,6 +22,8 @@ Defined results
   null conv_id       one conversation of its own
   null turn          before all others
   ties               rows of equal turn are ordered by role, then text; equal rows stay, each a turn
+  repeated rows      turns of their own
+  very long texts    a window of their own; a text is never cut
   empty table        no windows
   other columns      ignored
 """
@@ -37,6 +41,7 @@ OPEN, MIDDLE, CLOSE = "<turn:", ":>", "</turn>"
 
 @dataclass(frozen=True)
 class ChatConfig:
+    budget_tokens: int = 512
     span_tokens: int = 256
     long_tokens: int = 128
     history_turns: int = 2
@@ -57,8 +62,9 @@ def unescape(text: Column) -> Column:
 
 
 def turn_tokens(text: Column, config: ChatConfig) -> Column:
-    """Token estimate of a turn: its runs of characters other than blank, tab and line ends, and the template's."""
-    return F.regexp_count(text, F.lit(r"[^ \t\n\r]+")).cast("long") + F.lit(config.turn_overhead)
+    """Token estimate of a turn: runs of characters other than blank, tab and line ends, or a quarter of the bytes; and the template's."""
+    runs = F.regexp_count(text, F.lit(r"[^ \t\n\r]+")).cast("long")
+    return F.greatest(runs, F.ceil(F.octet_length(text) / 4)) + F.lit(config.turn_overhead)
 
 
 def numbered_turns(turns: DataFrame, config: ChatConfig) -> DataFrame:
@@ -104,11 +110,16 @@ def format_windows(turns: DataFrame, config: ChatConfig = ChatConfig()) -> DataF
     repeated = heads.join(turns, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("idx") == F.col("_idx"))).where(
         ((F.col("idx") == 0) & (F.col("role") == "system")) | near
     )
-    item = F.struct("idx", "role", "text", "own")
-    parts = own.select("conv_id", "window_start", F.struct("idx", "role", "text", F.lit(True).alias("own")).alias("item")).unionByName(
-        repeated.select("conv_id", F.col("_start").alias("window_start"), F.struct("idx", "role", "text", F.lit(False).alias("own")).alias("item"))
+    item = lambda owned, back: F.struct("idx", "role", "text", F.lit(owned).alias("own"), "tokens", back.alias("back")).alias("item")
+    parts = own.select("conv_id", "window_start", item(True, F.lit(0).cast("long"))).unionByName(
+        repeated.select("conv_id", F.col("_start").alias("window_start"), item(False, F.col("_before") - F.col("before")))
     )
     windows = parts.groupBy("conv_id", "window_start").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    kept_first = lambda x: x.own | ((x.idx == 0) & (x.role == "system"))
+    taken = F.aggregate("items", F.lit(0).cast("long"), lambda total, x: total + F.when(kept_first(x), x.tokens).otherwise(F.lit(0)))
+    # An item's ``back`` is the tokens from it to the span, so what fits is the nearest turns.
+    windows = windows.withColumn("room", F.lit(config.budget_tokens) - taken)
+    windows = windows.withColumn("items", F.filter("items", lambda x: kept_first(x) | (x.back <= F.col("room"))))
     head = lambda x: F.concat(F.lit(OPEN), escape(x.role), F.lit(MIDDLE + "\n"))
     windows = windows.withColumn(
         "pieces",

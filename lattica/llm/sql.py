@@ -15,13 +15,14 @@ def _chat(c: ChatConfig = ChatConfig()) -> str:
     escaped = "length(replace(replace(replace(replace({x}, '\\', '\\\\'), '<turn:', '<\\turn:'), ':>', ':\\>'), '</turn>', '<\\/turn>'))"
     return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
-a AS (SELECT *, row_number() OVER w - 1 AS idx, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) + {c.turn_overhead} AS tokens,
+a AS (SELECT *, row_number() OVER w - 1 AS idx, greatest(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), (strlen(text) + 3) // 4) + {c.turn_overhead} AS tokens,
   17 + {escaped.format(x='role')} + {escaped.format(x='text')} AS size FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 b AS (SELECT *, (tokens > {c.long_tokens})::INT AS long, sum(tokens) OVER w - tokens AS before FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
 s AS (SELECT *, sum(long) OVER (PARTITION BY conv_id ORDER BY idx) - long AS longs, (before + tokens - 1) // {c.span_tokens} AS span FROM b),
-o AS (SELECT *, min(idx) OVER (PARTITION BY conv_id, longs, long, span) AS start FROM s),
+o AS (SELECT *, min(idx) OVER w AS start, sum(tokens) OVER w + coalesce(max(tokens) FILTER (idx = 0 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS taken
+  FROM s WINDOW w AS (PARTITION BY conv_id, longs, long, span)),
 r AS (SELECT x.conv_id, sum(x.size) AS size FROM o h JOIN o x ON x.conv_id = h.conv_id AND x.idx < h.idx WHERE h.idx = h.start
-  AND ((x.idx = 0 AND x.role = 'system') OR (h.idx - x.idx <= {c.history_turns} AND h.before - x.before <= {c.history_tokens})) GROUP BY 1),
+  AND ((x.idx = 0 AND x.role = 'system') OR (h.idx - x.idx <= {c.history_turns} AND h.before - x.before <= least({c.history_tokens}, {c.budget_tokens} - h.taken))) GROUP BY 1),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '') AS loss, sum(size) AS own FROM o GROUP BY 1)
 SELECT g.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (own + coalesce(r.size, 0))::BIGINT AS formatted_chars FROM g LEFT JOIN r USING (conv_id)"""
