@@ -1,10 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are paired with the nearest page of the same host in URL-path order, their text lines are aligned by
-longest common subsequence, and shared lines are deleted. The markup says which lines the differencing
-may touch: what stands in elements that are boilerplate by name, class or role goes in any case, and what
-stands in a page's article stays even if another page repeats it, because a passage that two articles
-share is text of both. Differencing decides for all other lines, those beside a page's article too.
+longest common subsequence, and shared lines are deleted: menus, footers and notices that a site repeats. The
+markup only mends what a pair can't show. Lines in a page's article stay even if the other page repeats them,
+because a passage that two articles share is text of both; and lines that the pair doesn't share go if they stand in
+elements that are boilerplate by name, class or role, like an advert that only one page has.
 
 Pages move once, to tasks by ranges of (host, path, page_id), and are read there in that order with one page
 before and after in hand, so a host with a third of all rows is spread out and no group is collected. The
@@ -18,6 +18,8 @@ Defined results
   ties               pages of equal path are ordered by page_id, null first
   no other page      on the host: nothing is deleted by differencing
   br, inline tags    part of their block; a br counts as white space
+  repeated rows      a page each; from a page with the same lines differencing deletes nothing
+  very long html     read whole, in one task; the alignment takes a bit a line of one page for each line of the other
   empty table        no rows
   other columns      ignored
 """
@@ -152,11 +154,12 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    """Lines that the other page doesn't share; then boilerplate goes, and an article's lines stay, whatever is shared."""
-    undecided = any(not boiler and not content for _, boiler, content in lines)  # else no alignment can change the text
-    shared = common_lines([x[0] for x in lines], [x[0] for x in other]) if other and undecided else set()
-    return "\n".join(text for i, (text, boiler, content) in enumerate(lines) if not boiler and (content or i not in shared))
+def main_text(lines: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> tuple[str, int]:
+    """A page's lines without those that the other page shares, and how many those are; then what is boilerplate by markup goes, too."""
+    here, there = ([x[0] for x in page] for page in (lines, other or []))
+    shared = common_lines(here, there) if here != there else set()  # a copy of the page shows nothing
+    gone = {i for i in shared if not lines[i][2]}  # an article's lines stay
+    return "\n".join(text for i, (text, boiler, _) in enumerate(lines) if i not in gone and not boiler), len(gone)
 
 
 def _alike(a: str, b: str) -> int:
@@ -198,7 +201,7 @@ def _part(k: Column, bounds: list[tuple]) -> Column:
 
 
 def extract_main_text(pages: DataFrame, prefix: int | None = None, parts: int | None = None) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``.
+    """``page_id, url, text, n_chars, n_shared`` for every row of ``pages(page_id, url, html)``; n_shared lines went because the paired page has them.
 
     ``parts``: how many ranges, by default as many as shuffle partitions; ``prefix``: of no effect, callers still pass it.
     """
@@ -241,7 +244,7 @@ def extract_main_text(pages: DataFrame, prefix: int | None = None, parts: int |
                 if here is not None and not here[5]:
                     near = [x for x in (before, after) if x is not None and x[2] == here[2]]
                     best = max(near, key=lambda x: _alike(x[3], here[3]), default=None)
-                    yield here[0], here[1], main_text(here[4], best and best[4])
+                    yield here[0], here[1], *main_text(here[4], best and best[4])
                 before, here = here, after
 
         out: list[tuple] = []
@@ -254,7 +257,7 @@ def extract_main_text(pages: DataFrame, prefix: int | None = None, parts: int |
                 out, size = [], 0
         yield _batch(out)
 
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_shared bigint")
 
 
 def _chain(rows: Iterator[tuple]) -> Iterator[tuple | None]:
@@ -264,6 +267,6 @@ def _chain(rows: Iterator[tuple]) -> Iterator[tuple | None]:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())],
-        ["page_id", "url", "text", "n_chars"],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
+        ["page_id", "url", "text", "n_chars", "n_shared"],
     )

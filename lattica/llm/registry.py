@@ -24,7 +24,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
