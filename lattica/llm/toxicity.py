@@ -4,14 +4,17 @@ Features of a text are its distinct words, word pairs and pairs with one word be
 coordinates. Every coordinate has its own learning rate, and L1 keeps most weights at exactly zero, so the
 model is a short list of coordinates and weights: at most 2**bits of them, broadcast to all tasks.
 
-Learning is sequential. It runs on the driver over the features of ``max_rows`` labelled rows at most,
-which are chosen by a hash of their id; every other step is distributed.
+Learning is sequential. It runs on the driver over the features of about ``max_rows`` labelled rows and
+``max_features`` features (4 bytes each) at most, whichever is less; the rows are chosen by a hash of their id. Every
+other step is distributed.
 
 Defined results
   null or empty text      scored by the model's bias alone
   null doc_id             never a training row; held out is false
   null label              not a training row
   no labelled rows        every score is 0.5
+  empty table             no rows
+  very long text          scored whole, in blocks; as a training row it counts with all its features
   repeated rows           rows are scored each on its own; repeated labels count as often as they stand there
   ties                    a score of exactly the threshold is predicted toxic
   other columns           carried along; a column named as one that this operator adds is replaced
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import slices
+from .common import materialize, slices
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII; A-Z count as a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -45,6 +48,7 @@ class FtrlConfig:
     l2: float = 0.5
     epochs: int = 4
     max_rows: int = 16_000  # labelled rows that are learned from
+    max_features: int = 40_000_000  # of these rows together
     calibrate_every: int = 5  # of the learned rows, each such one sets the scale of the scores instead of weights
     threshold: float = 0.7
     block_bytes: int = 4_000_000
@@ -149,7 +153,11 @@ def calibrated(sums: np.ndarray, labels: np.ndarray, bias: float) -> tuple[float
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", config: FtrlConfig = FtrlConfig(), eligible: Column | None = None) -> FtrlModel:
     rows = training_rows(docs, labels, label, config, F.lit(True) if eligible is None else eligible)
-    found = rows.select("doc_id", "y", "features").toArrow()  # bounded by max_rows
+    rows = materialize(rows, "toxicity-rows")
+    share = config.max_features / max(rows.agg(F.sum(F.size("features"))).first()[0] or 0, 1)
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    found = rows.select("doc_id", "y", "features").toArrow()  # bounded by max_rows and max_features
     ids, ys = (found.column(i).to_pylist() for i in range(2))
     lists = found.column(2).combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
