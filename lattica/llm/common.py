@@ -27,10 +27,12 @@ _own_shared: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the setting is absent."""
+    """The folder that driver and executors share; where the setting is absent, a local one, if the session is local."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_shared:
         _own_shared.append(tempfile.mkdtemp(prefix="lattica-"))
     return "file://" + _own_shared[0]
