@@ -363,7 +363,8 @@ def near_duplicates(docs: DataFrame, config: SketchConfig = SketchConfig()) -> D
     if more.limit(1).count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     classed = _labelled(classes, found)
-    least = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # A table of its own, so that a component with a third of all classes can be split in the join.
+    least = materialize(classed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "neardup-least")
     classed = classed.join(least, "component").select("digest", "n_shingles", "component_id")
     joined = prints.select("doc_id", "mark", "n_shingles", "digest").join(classed, ["digest", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
