@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import slices
+from .common import text_blocks, tidied
 
 #: The characters of the property White_Space, as ranges.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,7 +47,7 @@ CACHE_BYTES = 24 << 20  # of a task's cache, besides the block at hand
 ENTRY_BYTES = 190  # of an entry beside its characters and ids
 LONG_PIECE = 2048  # bytes of a pre-token that goes through the queue alone
 FEW_PIECES = 48  # fewer new pre-tokens go through it one by one
-BLOCK = 1_500_000  # characters of the texts that are looked at together
+BLOCK = 1_000_000  # bytes of the texts that are looked at together
 
 
 @lru_cache(maxsize=4)
@@ -354,25 +354,18 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ke
 
     def coded(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            texts = [x or "" for x in column.to_pylist()]
-            n, sha, plain, lists = [], [], [], []
-            for lo, hi in slices(texts, [len(x) for x in texts], BLOCK):
-                for packed in bpe.packed(texts[lo:hi]):
-                    ids = np.frombuffer(packed, "<u4")
-                    n.append(len(ids))
-                    sha.append(hashlib.sha256(packed).hexdigest())
-                    plain.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                    if keep_ids:
-                        lists.append(pa.array(ids.astype(np.int32)))
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in carried] + [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(plain, pa.string())]
-            if keep_ids:
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                flat = pa.concat_arrays(lists) if lists else pa.array([], pa.int32())
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), flat))
-            yield pa.RecordBatch.from_arrays(arrays, carried + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
-
-    return docs.select(*carried).mapInArrow(run, StructType(fields))
+            for lo, hi, texts in text_blocks(batch, text, BLOCK):
+                packed = bpe.packed([x or "" for x in texts])
+                n = [len(ids) >> 2 for ids in packed]
+                sha = [hashlib.sha256(ids).hexdigest() for ids in packed]
+                plain = [hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4"))).hexdigest() for ids in packed]
+                arrays = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in carried] + [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(plain, pa.string())]
+                if keep_ids:
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                yield pa.RecordBatch.from_arrays(arrays, carried + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
+
+    return docs.select(*carried).mapInArrow(tidied(run), StructType(fields))
 
 
 def decode(encoded: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from .common import materialize, slices
+from .common import materialize, text_blocks, tidied
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII; A-Z count as a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -48,7 +48,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 class DecontamConfig:
     window: int = 10
     block_words: int = 1_000_000  # words of a benchmark block; with their terms well below 64 MB
-    shard_bytes: int = 2_000_000
+    shard_bytes: int = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -204,16 +204,15 @@ def build_index(docs: DataFrame, config: DecontamConfig = DecontamConfig(), carr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _column(batch, "text").to_pylist()
-            for lo, hi in slices(texts, [len(t or "") for t in texts], config.shard_bytes):
-                shard, sizes = Shard.of_texts(texts[lo:hi])
+            for lo, hi, texts in text_blocks(batch, "text", config.shard_bytes):
+                shard, sizes = Shard.of_texts(texts)
                 rows = pa.StructArray.from_arrays([_column(batch, c).slice(lo, hi - lo) for c in carried], carried)
                 one = pa.array([0, hi - lo], pa.int32())
                 packed = [x.astype(kind).tobytes() for x, kind in ((shard.terms, "<u8"), (shard.postings, "<i4"), (shard.bounds, "<i4"))]
                 arrays = [pa.ListArray.from_arrays(one, rows), pa.ListArray.from_arrays(one, pa.array(sizes)), *(pa.array([x], pa.binary()) for x in packed)]
                 yield pa.RecordBatch.from_arrays(arrays, ["docs", "sizes", "terms", "postings", "bounds"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidied(run), schema)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, Shard]]:
@@ -266,7 +265,7 @@ def search_index(index: DataFrame, benchmark: DataFrame, config: DecontamConfig
             made = [pa.array(sizes), pa.array(totals), pa.array(spans_of, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array([list(f) for f in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([docs.field(f.name) for f in kept] + made, [*(f.name for f in kept), "n_words", "n_hit", "hits", "items"])
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(tidied(run), schema)
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("length", IntegerType())]))
@@ -302,4 +301,4 @@ def find_near_matches(index: DataFrame, benchmark: DataFrame, slop: int = 5, con
             arrays = [pa.array([ids[d] for d, _, _ in ordered], pa.int64()), pa.array([n for _, n, _ in ordered], pa.string()), pa.array([p for _, _, p in ordered], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "position"])
 
-    return index.mapInArrow(run, "doc_id bigint, item_id string, position bigint")
+    return index.mapInArrow(tidied(run), "doc_id bigint, item_id string, position bigint")

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: HTML element names by role.
 RAW = "script|style|noscript|template|svg|math|textarea|title|iframe|object|select|button|canvas|audio|video|datalist"
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -257,7 +259,7 @@ def extract_main_text(pages: DataFrame, prefix: int | None = None, parts: int |
                 out, size = [], 0
         yield _batch(out)
 
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_shared bigint")
+    return rows.mapInArrow(tidied(run), "page_id bigint, url string, text string, n_chars bigint, n_shared bigint")
 
 
 def _chain(rows: Iterator[tuple]) -> Iterator[tuple | None]:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import LOWER_BYTES, materialize, slices
+from .common import LOWER_BYTES, materialize, text_blocks, tidied
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ class SketchConfig:
     rate: float = 20.0  # of the exponential distribution
     seed: int = 20240229
     slack: float = 7.0  # standard deviations that an estimate may lie below the threshold
-    block_bytes: int = 2_000_000
+    block_bytes: int = 1_000_000
 
     @property
     def registers(self) -> int:
@@ -162,9 +162,8 @@ def fingerprints(docs: DataFrame, config: SketchConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _column(batch, "text").to_pylist()
-            for lo, hi in slices(texts, [len(t or "") for t in texts], config.block_bytes):
-                sets = [shingle_hashes(t, config.shingle) for t in texts[lo:hi]]
+            for lo, hi, texts in text_blocks(batch, "text", config.block_bytes):
+                sets = [shingle_hashes(t, config.shingle) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 packed: list[bytes | None] = [None] * len(sets)
                 bands: list[list[int]] = [[] for _ in sets]
@@ -180,7 +179,7 @@ def fingerprints(docs: DataFrame, config: SketchConfig) -> DataFrame:
                 made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(own + made, ["doc_id", "mark", "n_shingles", "digest", "sketch", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(tidied(run), schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, config: SketchConfig) -> DataFrame:
@@ -189,17 +188,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, config: SketchConfig) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, digests, texts = (_column(batch, c) for c in ("node", "digest", "text"))
-            for lo, hi in slices(texts, [len(t) for t in texts.to_pylist()], config.block_bytes):
+            for lo, hi, texts in text_blocks(batch, "text", config.block_bytes):
                 found = []
-                for i in range(lo, hi):
-                    shingles = shingle_hashes(texts[i].as_py(), config.shingle)
-                    if _digest(shingles) == digests[i].as_py():
-                        found.append((nodes[i].as_py(), shingles.tobytes()))
+                for node, digest, text in zip(*(_column(batch, c).slice(lo, hi - lo).to_pylist() for c in ("node", "digest")), texts):
+                    shingles = shingle_hashes(text, config.shingle)
+                    if _digest(shingles) == digest:
+                        found.append((node, shingles.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
 
     # Equal rows of an id give equal sets.
-    return texts.select("node", "digest", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    return texts.select("node", "digest", "text").mapInArrow(tidied(run), "node bigint, shingles binary").dropDuplicates(["node"])
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, config: SketchConfig) -> DataFrame:
@@ -212,15 +210,15 @@ def _likely(pairs: DataFrame, reps: DataFrame, config: SketchConfig) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, ka, kb = (_column(batch, c).to_pylist() for c in ("a", "b", "n_a", "n_b", "k_a", "k_b"))
+            ka, kb = (_column(batch, c) for c in ("k_a", "k_b"))
             keep = []
-            for x, y, m, n in zip(ka, kb, na, nb):
-                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+            for i, (m, n) in enumerate(zip(_column(batch, "n_a").to_pylist(), _column(batch, "n_b").to_pylist())):
+                x, y = (np.frombuffer(k[i].as_buffer(), np.uint16) for k in (ka, kb))
                 # Far too few equal registers need no likelihood.
                 keep.append(int((x == y).sum()) >= (floor - 0.1) * len(x) and estimate(x, y, m, n, config) >= floor)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep) if k], pa.int64()), pa.array([x for x, k in zip(b, keep) if k], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([_column(batch, c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,7 +242,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, config: SketchConfig) -> DataF
                 keep.append(_is_link(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), config))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -299,7 +297,7 @@ def _differences(members: DataFrame, sets: DataFrame, config: SketchConfig) -> D
                 yield pa.RecordBatch.from_arrays(columns, ["head", "node", "e", "weight", "size", "far"])
 
     pairs = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
-    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(run, "head bigint, node bigint, e bigint, weight bigint, size bigint, far boolean")
+    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(tidied(run), "head bigint, node bigint, e bigint, weight bigint, size bigint, far boolean")
 
 
 def _meetings(members: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .bpe import BLOCK, Encoder, encoder, load_ranks
-from .common import slices
+from .common import text_blocks, tidied
 
 LEAF = 32  # pre-tokens of a block
 CONTEXT = 2  # characters behind a pre-token's end that its match can depend on
@@ -176,16 +176,12 @@ def count_tokens(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
 
     def counted(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in _column(batch, text).to_pylist()]
-            trees = []
-            for lo, hi in slices(texts, [len(t) for t in texts], BLOCK):
-                for pieces in bpe.pieces(texts[lo:hi]):
-                    trees.append(build_tree(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(bpe.counts(pieces), np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [*(_column(batch, c) for c in carried), pa.array([int(t[1, 1]) for t in trees], pa.int64()), _lists(trees)], [*carried, "n_tokens", "tree"]
-            )
+            for lo, hi, texts in text_blocks(batch, text, BLOCK):
+                trees = [build_tree(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(bpe.counts(pieces), np.int64)) for pieces in bpe.pieces([t or "" for t in texts])]
+                made = [pa.array([int(t[1, 1]) for t in trees], pa.int64()), _lists(trees)]
+                yield pa.RecordBatch.from_arrays([_column(batch, c).slice(lo, hi - lo) for c in carried] + made, [*carried, "n_tokens", "tree"])
 
-    return docs.select(*carried).mapInArrow(run, StructType([docs.schema[c] for c in carried] + [StructField("n_tokens", LongType()), StructField("tree", ArrayType(IntegerType(), False))]))
+    return docs.select(*carried).mapInArrow(tidied(run), StructType([docs.schema[c] for c in carried] + [StructField("n_tokens", LongType()), StructField("tree", ArrayType(IntegerType(), False))]))
 
 
 def apply_edits(counted: DataFrame, rank_path: str, pattern: str, text: str = "text", edits: str = "edits") -> DataFrame:
@@ -203,18 +199,14 @@ def apply_edits(counted: DataFrame, rank_path: str, pattern: str, text: str = "t
 
     def edited(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: list[CountedText] = []
-            for value, tree, changes in zip(_column(batch, text), _column(batch, "tree"), _column(batch, edits)):
-                state = CountedText(bpe, value.as_py() or "", tree.values.to_numpy().astype(np.int64).reshape(-1, 2))
-                for change in changes.as_py() or ():
-                    state.edit(change["start"] or 0, change["length"] or 0, change["insert"] or "")
-                done.append(state)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(_column(batch, c) for c in carried), pa.array([s.text for s in done], pa.string()), pa.array([s.n_tokens for s in done], pa.int64()),
-                    _lists([s.tree for s in done]), pa.array([s.encoded for s in done], pa.int64()),
-                ],
-                [*carried, text, "n_tokens", "tree", "n_encoded"],
-            )
-
-    return counted.mapInArrow(run, StructType([counted.schema[c] for c in carried] + added))
+            for lo, hi, texts in text_blocks(batch, text, BLOCK):
+                done: list[CountedText] = []
+                for value, tree, changes in zip(texts, _column(batch, "tree").slice(lo, hi - lo), _column(batch, edits).slice(lo, hi - lo)):
+                    state = CountedText(bpe, value or "", tree.values.to_numpy().astype(np.int64).reshape(-1, 2))
+                    for change in changes.as_py() or ():
+                        state.edit(change["start"] or 0, change["length"] or 0, change["insert"] or "")
+                    done.append(state)
+                made = [pa.array([s.text for s in done], pa.string()), pa.array([s.n_tokens for s in done], pa.int64()), _lists([s.tree for s in done]), pa.array([s.encoded for s in done], pa.int64())]
+                yield pa.RecordBatch.from_arrays([_column(batch, c).slice(lo, hi - lo) for c in carried] + made, [*carried, text, "n_tokens", "tree", "n_encoded"])
+
+    return counted.mapInArrow(tidied(run), StructType([counted.schema[c] for c in carried] + added))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import materialize, slices
+from .common import materialize, text_blocks, tidied
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII; A-Z count as a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -51,7 +51,7 @@ class FtrlConfig:
     max_features: int = 40_000_000  # of these rows together
     calibrate_every: int = 5  # of the learned rows, each such one sets the scale of the scores instead of weights
     threshold: float = 0.7
-    block_bytes: int = 4_000_000
+    block_bytes: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -92,13 +92,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, config: FtrlCo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                coordinates, _ = _features([text or ""], config.bits)
-                lists.append(np.unique(coordinates).astype(np.int32).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "y")] + [pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "y", "features"])
+            for lo, hi, texts in text_blocks(batch, "text", config.block_bytes):
+                lists = [np.unique(_features([t or ""], config.bits)[0]).astype(np.int32) for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                features = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in ("doc_id", "y")] + [features], ["doc_id", "y", "features"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], rows.schema["y"], StructField("features", ArrayType(IntegerType()))]))
+    return rows.mapInArrow(tidied(run), StructType([rows.schema["doc_id"], rows.schema["y"], StructField("features", ArrayType(IntegerType()))]))
 
 
 def train(rows: list[tuple[int, np.ndarray]], config: FtrlConfig = FtrlConfig()) -> FtrlModel:
@@ -176,17 +176,13 @@ def score(docs: DataFrame, model: FtrlModel, config: FtrlConfig = FtrlConfig(),
         dense = np.zeros(1 << config.bits, np.float32)
         dense[coordinates] = values
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            sums = np.full(len(texts), bias)
-            for lo, hi in slices(texts, [len(t) for t in texts], config.block_bytes):
-                at, row = _features(texts[lo:hi], config.bits)
+            for lo, hi, texts in text_blocks(batch, text, config.block_bytes):
+                at, row = _features([t or "" for t in texts], config.bits)
                 some = dense[at] != 0
                 keys = np.unique(row[some] << config.bits | at[some])  # each feature of a text counts once
-                sums[lo:hi] += np.bincount(keys >> config.bits, dense[keys & (1 << config.bits) - 1].astype(np.float64), hi - lo)
-            p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in carried] + [pa.array(p), pa.array((p >= config.threshold).astype(np.int32))],
-                [*carried, "score", "predicted"],
-            )
-
-    return docs.select(*carried).mapInArrow(run, StructType([docs.schema[c] for c in carried] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+                sums = bias + np.bincount(keys >> config.bits, dense[keys & (1 << config.bits) - 1].astype(np.float64), hi - lo)
+                p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+                made = [pa.array(p), pa.array((p >= config.threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in carried] + made, [*carried, "score", "predicted"])
+
+    return docs.select(*carried).mapInArrow(tidied(run), StructType([docs.schema[c] for c in carried] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
