@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE_SQL, QUERIES, ann, graph, metadata, plans, text, vectors  # noqa: F401
+from .queries import ORACLE_SQL, QUERIES, ann, graph, metadata, plans, records, text, vectors  # noqa: F401

@@ -71,7 +71,7 @@ def search_variants(query: str, extra_keywords: Sequence[str] = (), alternates:
 
 def unique_sorted(values: Column) -> Column:
     """Distinct texts that aren't blank, sorted."""
-    return F.sort_array(F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")))
 
 
 def snippet(text: Column) -> Column:
@@ -200,12 +200,17 @@ def bm25_weights(docs: DataFrame, corpus: DataFrame | None = None, key: str = "i
     return long.join(idf, "term", "left").crossJoin(mean).select(key, "term", (F.coalesce("idf", F.lit(1.0)) * shape).alias("weight"))
 
 
+def idf(corpus: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
+    """``term, idf``: ln(N / df)."""
+    return document_frequencies(term_counts(corpus, key, tokens)).crossJoin(F.broadcast(corpus_size(corpus, tokens))).select("term", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
+
+
 def tfidf_weights(docs: DataFrame, corpus: DataFrame | None = None, key: str = "id", tokens: str = "tokens", sublinear: bool = False) -> DataFrame:
     """Weights tf * ln(N / df), tf as 1 + ln(tf) if sublinear; terms that the corpus lacks are dropped."""
     corpus = docs if corpus is None else corpus
-    idf = document_frequencies(term_counts(corpus, key, tokens)).crossJoin(F.broadcast(corpus_size(corpus, tokens))).select("term", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    return term_counts(docs, key, tokens).join(idf, "term").select(key, "term", (tf * F.col("idf")).alias("weight"))
+    known = idf(corpus, "id" if "id" in corpus.columns else key, tokens)
+    return term_counts(docs, key, tokens).join(known, "term").select(key, "term", (tf * F.col("idf")).alias("weight"))
 
 
 def bm25_search(docs: DataFrame, terms: Sequence[str], key: str = "id", tokens: str = "tokens", require_all: bool = False, prefix: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -109,7 +109,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
         return nodes.select("id", F.lit(0.0).alias("score"))
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     links = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")))
-    ids = nodes.select("id")
+    ids = cut(nodes.select("id"))  # every iteration reads it
     scores = ids.withColumn("score", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
         flow = links.join(scores, links["src"] == scores["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("flow"))
@@ -216,9 +216,3 @@ def similar_nodes(nodes: DataFrame, node: object, k: int = 10, threshold: float
     home = nodes.where(F.col("id") == node).select("vector").first()["vector"]
     found = nodes.where(F.col("id") != node).select("id", V.cosine(F.col("vector"), home).alias("score"))
     return (found.where(F.col("score") >= threshold) if threshold > 0 else found).orderBy(F.desc("score"), "id").limit(k)
-
-
-def check_batch(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows to write, and one row with the numbers of successes and failures."""
-    good = F.coalesce(valid, F.lit(False))
-    return rows.where(good), rows.agg(F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))

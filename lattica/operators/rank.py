@@ -154,3 +154,21 @@ def pack(sizes: Sequence[int], owners: Sequence[object], most: int, budget: int,
         if owner:
             counts[owner] = counts.get(owner, 0) + 1
     return taken or [0][: len(sizes)]
+
+
+#: A reranker takes the candidates ``id, content, score`` and the query, and returns them with another score.
+Reranker = Callable[[DataFrame, str], DataFrame]
+
+
+def by_score(score: Callable[[Column, Column], Column]) -> Reranker:
+    """The reranker of a scoring function of content and score, built-in expression or pandas UDF."""
+    return lambda rows, query: rows.withColumn("score", score(F.col("content"), F.col("score")))
+
+
+def search_reranked(rows: DataFrame, query: Sequence[float], text: str, reranker: Reranker, k: int = 10, threshold: float = 0.0) -> DataFrame:
+    """The max(50, 5 k) nearest rows, reranked; those below a positive threshold go, the k best stay."""
+    from .search import top_k
+
+    found = reranker(top_k(rows, query, max(50, 5 * k)), text)
+    found = found.where(F.col("score") >= threshold) if threshold > 0 else found
+    return found.orderBy(F.desc("score"), "id").limit(k)

@@ -1,8 +1,9 @@
 """Vector search: exact top-k, range, negatives, several vectors per entity, hybrid fusion.
 
-A single query is a literal: score and top-k are one pass that keeps k rows per task. Many queries are read in
-bounded blocks; every task scores its rows against a block by matrix products and keeps k rows per query, so
-what is shuffled is k rows per query and task.
+A single query is a literal: score and top-k are one pass that keeps k rows per task. Up to ``QUERY_LIMIT`` queries,
+which are counted first, go to all tasks: one scan, matrix products, and k rows per query and task are shuffled. More
+queries meet the rows in tiles: a grid of blocks of queries and blocks of rows, dealt by an equi-join of tile numbers,
+with k rows per query and tile left for the last merge. The plan is of the same size for any number of queries.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from ..functions import vectors as V
 
 DEFAULT_K = 10
-QUERY_BLOCK = 1024
+QUERY_LIMIT = 8192  # of queries that are broadcast
+QUERY_TILE, ROW_TILE = 4096, 65536  # rows of a tile, on average
 SCORE_CELLS = 8_000_000  # numbers of a score matrix
 
 
@@ -47,19 +49,6 @@ def range_search(rows: DataFrame, query: Sequence[float], radius: float, metric:
     return found.limit(k) if k > 0 else found
 
 
-def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[list[int], np.ndarray]]:
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for row in queries.select(key, vector).toLocalIterator():
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == QUERY_BLOCK:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
-
-
 def score_matrix(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     products = queries @ rows.T
     if metric == "dot":
@@ -71,51 +60,89 @@ def score_matrix(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarr
     return np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
 
 
-def batch_knn(queries: DataFrame, rows: DataFrame, k: int = DEFAULT_K, metric: str = "cosine", key: str = "id", vector: str = "vector", exclude_self: bool = False, radius: float | None = None) -> DataFrame:
+def _matrix(names: pa.Array, lists: pa.Array, size: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows whose vector has this size (None: the first row's)."""
+    sizes = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if size is None:
+        size = int(sizes.max()) if len(sizes) else 0
+    keep = np.flatnonzero(sizes == size)
+    flat = lists.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False)
+    return names.to_numpy(zero_copy_only=False)[keep].astype(np.int64), flat.astype(np.float64).reshape(len(keep), size)
+
+
+class _Best:
+    """The k best rows of each query among those seen, or all pairs within a radius."""
+
+    names = ["query_id", "id", "score"]
+
+    def __init__(self, own: np.ndarray, q: np.ndarray, k: int, metric: str, exclude_self: bool, radius: float | None) -> None:
+        self.own, self.q, self.k, self.metric, self.exclude_self, self.radius = own, q, k, metric, exclude_self, radius
+        self.score, self.id = np.full((len(own), 0), -np.inf), np.zeros((len(own), 0), np.int64)
+
+    def see(self, names: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORE_CELLS // max(len(self.own), 1))
+        for at in range(0, len(names), step):
+            s = score_matrix(self.q, data[at : at + step], self.metric)
+            part = np.broadcast_to(names[at : at + step], s.shape)
+            if self.exclude_self:
+                s = np.where(part == self.own[:, None], -np.inf, s)
+            if self.radius is not None:
+                i, j = np.nonzero((1 - s if self.metric == "cosine" else -s) <= self.radius)
+                yield pa.RecordBatch.from_arrays([pa.array(self.own[i]), pa.array(names[at : at + step][j]), pa.array(s[i, j])], self.names)
+                continue
+            if s.shape[1] > 4 * self.k:  # all that can be among the k best, ties included
+                least = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+                some = np.flatnonzero((s >= least).any(axis=0))
+                s, part = s[:, some], part[:, some]
+            all_score, all_id = np.concatenate([self.score, s], 1), np.concatenate([self.id, part], 1)
+            order = np.lexsort((all_id, -all_score), axis=1)[:, : self.k]
+            self.score, self.id = np.take_along_axis(all_score, order, 1), np.take_along_axis(all_id, order, 1)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.radius is None and self.score.shape[1]:
+            i, j = np.nonzero(self.score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(self.own[i]), pa.array(self.id[i, j]), pa.array(self.score[i, j])], self.names)
+
+
+def batch_knn(queries: DataFrame, rows: DataFrame, k: int = DEFAULT_K, metric: str = "cosine", key: str = "id", vector: str = "vector", exclude_self: bool = False, radius: float | None = None, query_limit: int = QUERY_LIMIT) -> DataFrame:
     """``query_id, id, score, rank`` of the k best rows of every query, or of all rows within a radius.
 
     Keys are integers. Rows whose vector has another size than the queries' are no candidates.
     """
-    result = None
     schema = StructType([StructField("query_id", LongType()), StructField("id", LongType()), StructField("score", DoubleType())])
-    for ids, matrix in _query_blocks(queries, key, vector):
-        sent = rows.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, q = sent.value
-            best_score = np.full((len(own), 0), -np.inf)
-            best_id = np.zeros((len(own), 0), np.int64)
-            step = max(1, SCORE_CELLS // len(own))
+    q = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    r = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    head = q.limit(query_limit + 1).toArrow()  # bounded
+    if head.num_rows <= query_limit:
+        lists = head.column(1).combine_chunks()
+        sent = rows.sparkSession.sparkContext.broadcast(_matrix(head.column(0).combine_chunks(), pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists, None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, matrix = sent.value
+            best = _Best(own, matrix, k, metric, exclude_self, radius)
             for batch in batches:
-                lists = batch.column(1)
-                sizes = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-                keep = np.flatnonzero(sizes == q.shape[1])
-                if not len(keep):
-                    continue
-                chosen = lists.take(pa.array(keep))
-                data = chosen.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-                names = batch.column(0).to_numpy(zero_copy_only=False)[keep]
-                for at in range(0, len(names), step):
-                    s = score_matrix(q, data[at : at + step], metric)
-                    part = np.broadcast_to(names[at : at + step], s.shape)
-                    if exclude_self:
-                        s = np.where(part == own[:, None], -np.inf, s)
-                    if radius is not None:
-                        gap = 1 - s if metric == "cosine" else -s
-                        i, j = np.nonzero(gap <= radius)
-                        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(names[at : at + step][j]), pa.array(s[i, j])], schema.names)
-                        continue
-                    all_score, all_id = np.concatenate([best_score, s], 1), np.concatenate([best_id, part], 1)
-                    order = np.lexsort((all_id, -all_score), axis=1)[:, :k]
-                    best_score, best_id = np.take_along_axis(all_score, order, 1), np.take_along_axis(all_id, order, 1)
-            if radius is None and best_score.shape[1]:
-                i, j = np.nonzero(best_score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(best_id[i, j]), pa.array(best_score[i, j])], schema.names)
-
-        part = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        return rows.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+                yield from best.see(*_matrix(batch.column(0), batch.column(1), matrix.shape[1]))
+            yield from best.found()
+
+        result = r.mapInArrow(run, schema)
+    else:
+        # Every query goes to one tile of each block of rows, every row to one tile of each block of queries.
+        across, down = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_TILE), (r, ROW_TILE)))
+        tile = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = q.select("id", "v", tile(across, 1).alias("tx"), every(down).alias("ty"))
+        right = r.select("id", "v", tile(down, 2).alias("ty"), every(across).alias("tx"))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            flat = lambda t: [x.combine_chunks() if x.num_chunks != 1 else x.chunk(0) for x in (t.column("id"), t.column("v"))]
+            best_of = []
+            if a.num_rows and b.num_rows:
+                own, matrix = _matrix(*flat(a), None)
+                best = _Best(own, matrix, k, metric, exclude_self, radius)
+                best_of = [*best.see(*_matrix(*flat(b), matrix.shape[1])), *best.found()]
+            return pa.Table.from_batches(best_of, pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+        result = left.groupBy("tx", "ty").cogroup(right.groupBy("tx", "ty")).applyInArrow(meet, schema)
     ranked = result.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked if radius is not None else ranked.where(F.col("rank") <= k)
 

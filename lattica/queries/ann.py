@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import geo as P
 from ..functions import vectors as V
 from ..operators import ann as A
+from ..operators import indexes as I
 from ..operators import search as S
-from ..session import table
+from ..session import shared_dir, table
 from . import query
 from .vectors import E_L2, ONE, query_vector, vectors_of
 
@@ -46,7 +49,86 @@ def _stats(spark, d):
 def _kmeans(spark, d):
     rows = vectors_of(spark, d)
     c = A.train_centroids(rows, 16)
-    return A.ivf_search_many(A.assign(rows, c), c, rows.where("id % 20 = 0"), 10, 8)
+    return A.ivf_search_many(A.assign(rows, c), c, rows.where("id % 20 = 0"), 10, 12)
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+
+
+_indexes: dict = {}
+
+
+def ivf_index(spark, d):
+    """A stored IVF index, trained, written and read back once in an application."""
+    known = ("ivf", spark.sparkContext.applicationId, d)
+    if known not in _indexes:
+        made = I.IvfIndex(spark, _folder(spark, "ivf"))
+        made.train(vectors_of(spark, d), 16)
+        made.add(vectors_of(spark, d))
+        _indexes[known] = made.path
+    return I.IvfIndex(spark, _indexes[known])
+
+
+def graph_index(spark, d, cells=1):
+    known = ("graph", cells, spark.sparkContext.applicationId, d)
+    if known not in _indexes:
+        made = I.GraphIndex(spark, _folder(spark, "graph"))
+        rows = vectors_of(spark, d)
+        made.set_centroids(A.train_centroids(rows, cells) if cells > 1 else np.zeros((1, 64)))
+        made.build(rows)
+        _indexes[known] = made.path
+    return I.GraphIndex(spark, _indexes[known])
+
+
+def _found(rows):
+    return rows.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("ann_ivf_stored")
+def _ivf_stored(spark, d):
+    return _found(ivf_index(spark, d).search_many(vectors_of(spark, d).where("id % 20 = 0"), 10, 12))
+
+
+_ALL_NEAR = f"SELECT id, round(s, 6) AS distance FROM (SELECT e.vec_id AS id, {E_L2} AS s FROM {ONE} WHERE e.vec_id % 7 <> 1) ORDER BY s, id LIMIT 10"
+
+
+@query("ann_ivf_changes", _ALL_NEAR)
+def _ivf_changes(spark, d):
+    """Rows are added in two batches, some are deleted, the index is compacted and opened again; all cells are probed, so the answer is exact."""
+    rows = vectors_of(spark, d)
+    made = I.IvfIndex(spark, _folder(spark, "ivf"))
+    made.train(rows, 8)
+    made.add(rows.where("id % 2 = 0")).add(rows.where("id % 2 = 1"))
+    made.delete(rows.where("id % 7 = 1"))
+    whole = made.compacted(_folder(spark, "ivf"))
+    return I.IvfIndex(spark, whole.path).search(query_vector(spark, d), 10, 8).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("ann_hnsw")
+def _hnsw(spark, d):
+    return _found(graph_index(spark, d).search_many(vectors_of(spark, d).where("id % 20 = 0"), 10, 1, 100))
+
+
+@query("ann_hnsw_ivf")
+def _hnsw_ivf(spark, d):
+    return _found(graph_index(spark, d, 8).search_many(vectors_of(spark, d).where("id % 20 = 0"), 10, 6, 64))
+
+
+@query("ann_hnsw_changes")
+def _hnsw_changes(spark, d):
+    """A graph index after rows were added and deleted: none of the deleted ones is found."""
+    rows = vectors_of(spark, d)
+    made = I.GraphIndex(spark, _folder(spark, "graph"))
+    made.set_centroids(np.zeros((1, 64)))
+    made.build(rows.where("id % 2 = 0")).add(rows.where("id % 2 = 1"))
+    made.delete(rows.where("id % 7 = 1"))
+    return _found(made.search_many(rows.where("id % 20 = 0"), 10, 1, 100))
+
+
+@query("ann_hnsw_stats", "SELECT 1::BIGINT AS graphs, count(*) AS nodes, count(*) AS most FROM embeddings")
+def _hnsw_stats(spark, d):
+    return graph_index(spark, d).stats()
 
 
 @query("ann_lsh")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from ..operators import store as St
 from ..plans import memory as M
 from ..plans import rag as R
 from ..plans import routing as Ro
-from ..session import table
+from ..session import shared_dir, table
 from ..sources import formats as Fo
 from ..streaming import streams as X
 from . import query
@@ -23,10 +23,7 @@ from .vectors import E_COS, ONE, query_vector, vectors_of
 
 def _shared(spark, name):
     """A new folder that driver and executors share."""
-    import uuid
-
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lattica-")
-    return f"{where.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
 
 
 def events(spark, d):
@@ -115,8 +112,8 @@ def _ttl(spark, d):
 
 @query("memory_scope", "SELECT 'memory:user:' || user_id || ':default' AS bucket, count(*) AS memories FROM events GROUP BY 1")
 def _scope(spark, d):
-    name = F.format_string("memory:user:%s:default", F.col("user_id").cast("string"))
-    assert M.bucket("user", "7") == "memory:user:7:default"
+    parts = M.bucket("user", "{}").split("{}")
+    name = F.concat(F.lit(parts[0]), F.col("user_id").cast("string"), F.lit(parts[1]))
     return events(spark, d).groupBy(name.alias("bucket")).agg(F.count("*").alias("memories"))
 
 
@@ -266,7 +263,7 @@ def _stream_upsert(spark, d):
     store = X.IncrementalTable(spark, _shared(spark, "table"))
 
     def each(batch, batch_id):
-        store.merge(St.latest(batch), batch_id)
+        store.merge(batch, batch_id)
 
     stream = X.file_stream(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"))
     stream.writeStream.foreachBatch(each).option("checkpointLocation", _shared(spark, "upsert")).trigger(availableNow=True).start().awaitTermination()
@@ -276,14 +273,48 @@ def _stream_upsert(spark, d):
 @query("stream_dedup", "SELECT DISTINCT user_id FROM events")
 def _stream_dedup(spark, d):
     stream = X.file_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    return _collected(spark, X.deduplicated(stream, "user_id", "at", "60 days").select("user_id"), "user_id bigint").distinct()
+    return _collected(spark, X.deduplicated(stream, "user_id", "at", "60 days").select("user_id"), "user_id bigint")
 
 
-@query("stream_trigger_windows", "WITH m AS (SELECT conv_id AS session_id, turn, role, count(*) FILTER (role = 'user') OVER w AS n, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS size FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT session_id, n, size FROM m WHERE role = 'user' AND n % 2 = 0")
+@query("stream_trigger_windows", "WITH m AS (SELECT conv_id AS session_id, turn, role, count(*) FILTER (role = 'user') OVER w AS n, array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), ',') AS ids FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT session_id, n, ids FROM m WHERE role = 'user' AND n % 2 = 0")
 def _stream_triggers(spark, d):
     stream = X.file_stream(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), "role")
     found = _collected(spark, X.trigger_stream(stream), "session_id bigint, n bigint, ids array<bigint>")
-    return found.select("session_id", "n", F.size("ids").cast("bigint").alias("size"))
+    return found.select("session_id", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("stream_merged", "SELECT vec_id AS id, 'a' AS source FROM embeddings WHERE label < 3 UNION ALL SELECT vec_id, 'b' FROM embeddings WHERE label < 2")
+def _stream_merged(spark, d):
+    one = X.file_stream(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    legs = X.merge_streams(one.where("label < 3").select("id", F.lit("a").alias("source")), one.where("label < 2").select("id", F.lit("b").alias("source")))
+    return _collected(spark, legs, "id bigint, source string")
+
+
+@query("stream_windowed", "SELECT epoch(time_bucket(INTERVAL '1 day', ts))::BIGINT AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
+def _stream_windowed(spark, d):
+    """Counts by day and type as a stream leaves them in a table in memory of its sink: windows are complete when it ends."""
+    stream = X.file_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
+    last = {}
+    counts = X.windowed_counts(stream, "at", "1 day", "event_type")
+    each = lambda rows, i: last.update(rows=rows.select(F.unix_timestamp("window.start").alias("day"), "event_type", "count").collect()) if i == 0 else None  # noqa: E731  as many rows as days and types
+    counts.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", _shared(spark, "windows")).trigger(availableNow=True).start().awaitTermination()
+    return spark.createDataFrame(last["rows"], "day bigint, event_type string, count bigint")
+
+
+@query("chunk_neighbours", "SELECT c.doc_id, c.turn AS idx, lag(turn) OVER w AS previous, lead(turn) OVER w AS following FROM (SELECT conv_id AS doc_id, turn FROM conversations) c WINDOW w AS (PARTITION BY doc_id ORDER BY turn)")
+def _neighbours(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.col("turn").alias("id"))
+    return R.neighbours_in_order(rows).select("doc_id", "idx", "previous", "following")
+
+
+@query("stream_pending", "SELECT user_id AS id, max(event_id) AS version FROM events GROUP BY 1")
+def _stream_pending(spark, d):
+    """Three batches out of order, the last of them still pending."""
+    store = X.IncrementalTable(spark, _shared(spark, "table"))
+    rows = events(spark, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("version"))
+    store.merge(rows.where("version % 3 = 2"), 0)
+    store.merge(rows.where("version % 3 = 0"), 1)
+    return store.with_pending(rows.where("version % 3 = 1"))
 
 
 @query("batch_hybrid_fusion", f"WITH a AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {E_COS} DESC, e.vec_id) AS rank FROM {ONE} QUALIFY rank <= 10), b AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {E_COS} DESC, e.vec_id) AS rank FROM {ONE.replace('vec_id = 0', 'vec_id = 1')} QUALIFY rank <= 10), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT id, round(sum(1 / (60.0 + rank)), 6) AS score FROM u GROUP BY 1")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import keyword as K
 from ..operators import rank as R
 from ..operators import search as S
-from ..session import table
+from ..operators.keyword import KeywordIndex
+from ..plans import rag as G
+from ..session import shared_dir, table
 from . import query
 from .vectors import E_COS, ONE, query_vector, vectors_of
 
@@ -52,10 +57,9 @@ def _chunk(spark, d):
     return cut.select("id", F.size("cs").cast("bigint").alias("n"), F.md5(F.array_join("cs", "\n")).alias("digest"))
 
 
-@query("text_entities", r"SELECT id, len(x) AS n, md5(array_to_string(list_sort(list_distinct(x)), '|')) AS digest FROM (SELECT doc_id AS id, list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\b([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)*)\b', 1)) AS x FROM documents)")
+@query("text_entities")
 def _entities(spark, d):
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")  # engines differ in what a word boundary is beyond ASCII
-    found = documents(spark, d).select("id", T.title_entities(plain).alias("x"))
+    found = documents(spark, d).select("id", T.title_entities(F.col("text")).alias("x"))
     return found.select("id", F.size("x").cast("bigint").alias("n"), F.md5(F.array_join(F.sort_array("x"), "|")).alias("digest"))
 
 
@@ -91,18 +95,65 @@ def _top_terms(spark, d):
 
 
 _TERMS = ["thing", "hation", "ner"]
+_indexes: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def keyword_index(spark, d):
+    """The index of the documents; built once in an application, as a store would keep it."""
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _indexes:
+        path = f"{shared_dir(spark)}/lattica/keywords-{uuid.uuid4().hex}"
+        _indexes[known] = KeywordIndex(spark, path).add(tokenized(spark, d))
+    return _indexes[known]
+
+
+def _scored(found):
+    return found.select("id", F.round("score", 6).alias("score"))
 
 
 @query("text_bm25_search", f"{_TF} SELECT id, round(sum({_BM25_W}), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('thing', 'hation', 'ner') GROUP BY 1")
 def _bm25_search(spark, d):
-    return T.bm25_search(tokenized(spark, d), _TERMS).select("id", F.round("score", 6).alias("score"))
+    return _scored(keyword_index(spark, d).search(K.any_of(_TERMS)))
 
 
-@query("text_bm25_search_all", f"{_TF} SELECT id, round(sum({_BM25_W}), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('thing', 'is') GROUP BY 1 HAVING count(*) = 1 AND min(term) = 'thing'")
+@query("text_bm25_scan", f"{_TF} SELECT id, round(sum({_BM25_W}), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('thing', 'hation', 'ner') GROUP BY 1")
+def _bm25_scan(spark, d):
+    return _scored(T.bm25_search(tokenized(spark, d), _TERMS))
+
+
+@query("text_bm25_search_all", f"{_TF} SELECT id, round(sum({_BM25_W}), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('attion', 'thanedble') GROUP BY 1 HAVING count(*) = 2")
 def _bm25_all(spark, d):
-    # 'is' is a stop word of the tokenizer, so the query planner leaves one term.
-    terms = [w for w in ("thing", "is") if w not in T.ROUTER_STOP_WORDS]
-    return T.bm25_search(tokenized(spark, d), terms, require_all=True).select("id", F.round("score", 6).alias("score"))
+    return _scored(keyword_index(spark, d).search("attion AND thanedble"))
+
+
+@query("text_query_grammar", f"""{_TF}, h AS (SELECT id, sum({_BM25_W}) AS score, list(term) AS terms FROM tf JOIN df USING (term), n WHERE term IN ('thing', 'hation', 'ner') GROUP BY 1)
+SELECT id, round(score, 6) AS score FROM h WHERE (list_contains(terms, 'thing') OR list_contains(terms, 'hation')) AND NOT list_contains(terms, 'ner')""")
+def _grammar(spark, d):
+    return _scored(keyword_index(spark, d).search("(thing OR hation) NOT ner"))
+
+
+_ONE_LEAF = f"{_TF}, p AS ({{rows}}), c AS (SELECT count(*) AS df FROM p) SELECT id, round({_BM25_W}, 6) AS score FROM p, c, n"
+
+
+@query("text_prefix_search", _ONE_LEAF.format(rows="SELECT id, any_value(len) AS len, sum(tf) AS tf FROM tf WHERE starts_with(term, 'hatio') GROUP BY 1"))
+def _prefix(spark, d):
+    return _scored(keyword_index(spark, d).search("hatio*"))
+
+
+@query("text_phrase_search", _ONE_LEAF.format(rows="SELECT id, len(tokens) AS len, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'attion' AND tokens[i + 1] = 'thanedble')) AS tf FROM t WHERE tf > 0"))
+def _phrase(spark, d):
+    return _scored(keyword_index(spark, d).search('"attion thanedble"'))
+
+
+@query("text_query_variants", f"{_TF} SELECT 'OR' AS form, id, round(sum({_BM25_W}), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('thing', 'ner') GROUP BY ALL")
+def _variants(spark, d):
+    """The planner's forms of a question are tried in order; here the first that finds anything is the keywords by OR."""
+    index = keyword_index(spark, d)
+    words = " ".join(["thing", "of", "ner"])
+    for form in T.search_variants(words):
+        if " OR " in form:
+            return index.search(form).select(F.lit("OR").alias("form"), "id", F.round("score", 6).alias("score"))
+    raise AssertionError("the planner has no form by OR")
 
 
 _SPARSE = _TF.replace("documents", "benchmark").replace("doc_id", "item_id")
@@ -127,7 +178,7 @@ def _vector_leg(spark, d):
 
 @query("hybrid_rrf", f"{_TF}, {_LEG}, {_TEXT_LEG}, u AS (SELECT id, rank FROM v UNION ALL SELECT id, rank FROM k) SELECT id, round(sum(1 / (60.0 + rank)), 6) AS score FROM u GROUP BY 1 ORDER BY sum(1 / (60.0 + rank)) DESC, id LIMIT 10")
 def _hybrid(spark, d):
-    found = S.hybrid(_vector_leg(spark, d), T.bm25_search(tokenized(spark, d), _TERMS), 10)
+    found = S.hybrid(_vector_leg(spark, d), keyword_index(spark, d).search(K.any_of(_TERMS)), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -182,10 +233,23 @@ def _random(spark, d):
     return R.select_random(S.scored(vectors_of(spark, d), query_vector(spark, d)), 10).select("id", "score")
 
 
-@query("text_hybrid_similarity", f"SELECT e.vec_id AS id, round(0.7 * {E_COS} + 0.3 * (e.label = 3)::INT, 6) AS score FROM {ONE}")
+_ASK = "thing hation ner"
+
+
+@query("text_hybrid_similarity", f"""{_TF}, i AS (SELECT term, ln(n_docs / df) AS idf FROM df, n), w AS (SELECT id, term, tf * idf AS w FROM tf JOIN i USING (term)), le AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1),
+q AS (SELECT term, idf AS w FROM i WHERE term IN ('thing', 'hation', 'ner')), ql AS (SELECT sqrt(sum(w * w)) AS l FROM q), p AS (SELECT w.id, sum(w.w * q.w) / any_value(le.l * ql.l) AS sparse FROM w JOIN q USING (term) JOIN le USING (id), ql GROUP BY 1)
+SELECT d.id, round(0.7 * s + 0.3 * coalesce(sparse, 0), 6) AS score FROM (SELECT e.vec_id AS id, {E_COS} AS s FROM {ONE}) d JOIN t USING (id) LEFT JOIN p USING (id)""")
 def _hybrid_similarity(spark, d):
-    score = 0.7 * V.cosine(F.col("vector"), query_vector(spark, d)) + 0.3 * (F.col("label") == 3).cast("int")
-    return vectors_of(spark, d).select("id", F.round(score, 6).alias("score"))
+    """Dense cosine and cosine of TF-IDF vectors of the texts, 0.7 to 0.3."""
+    docs = tokenized(spark, d)
+    asked = spark.range(1).select(F.lit(-1).cast("bigint").alias("q"), T.router_tokens(F.lit(_ASK)).alias("tokens"))
+    # Weights of both by the documents' statistics; the query's terms are few, so only their postings meet it.
+    own = T.tfidf_weights(docs)
+    theirs = T.term_counts(asked, "q").join(T.idf(docs), "term").select("q", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    sparse = T.sparse_similarity(theirs, own, "q", "id").select("id", "score")
+    dense = S.scored(vectors_of(spark, d), query_vector(spark, d)).select("id", F.col("score").alias("dense")).join(documents(spark, d).select("id"), "id")
+    score = 0.7 * F.col("dense") + 0.3 * F.coalesce("score", F.lit(0.0))
+    return dense.join(sparse, "id", "left").select("id", F.round(score, 6).alias("score"))
 
 
 @query("knowledge_hits", f"""WITH t AS (SELECT doc_id AS id, {SET} AS tokens, source FROM documents), s AS (SELECT source, id, (list_contains(tokens, 'thing')::INT + list_contains(tokens, 'der')::INT) / 2.0 AS score FROM t)
@@ -193,6 +257,6 @@ SELECT source, max(score) AS score, count(*) AS chunks, arg_min(id, -score * 100
 def _knowledge(spark, d):
     tokens = T.token_set(F.col("text"))
     hit = lambda w: F.array_contains(tokens, w).cast("int")
-    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), ((hit("thing") + hit("der")) / 2).alias("score")).where("score > 0")
-    best = F.max_by("id", F.struct("score", (-F.col("id")).alias("i")))
-    return rows.groupBy("source").agg(F.max("score").alias("score"), F.count("*").alias("chunks"), best.alias("best"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array(F.lit("all")).alias("entities"), ((hit("thing") + hit("der")) / 2).alias("score")).where("score > 0")
+    found = G.knowledge_hits(rows, k=1000)
+    return found.select(F.col("doc_id").alias("source"), "score", F.size("chunk_ids").cast("bigint").alias("chunks"), F.get("chunk_ids", F.lit(0)).alias("best"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators count on: AQE with skew handling, UTC, Arrow."""
@@ -26,12 +32,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it isn't set and the session is local."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="lattica-"))
+    return _own[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of ``df`` with a reliable checkpoint; the folder is the session's, or a temporary one where none is set."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="lattica-"))
-    return df.checkpoint()
+    """End the lineage of ``df``: write it as Parquet into the shared folder and return the table read back, deleted when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lattica/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jvm is None or context._jsc is None:
+        return
+    try:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone already
+        pass

@@ -93,14 +93,23 @@ def _xml(text: Column) -> Column:
     return out
 
 
+#: The keys of GraphML data.
+GRAPHML_KEYS = (
+    ("d0", "node", "content", "string"), ("d1", "node", "type", "string"), ("d2", "node", "vector", "string"), ("d3", "node", "properties", "string"),
+    ("d4", "edge", "type", "string"), ("d5", "edge", "weight", "double"), ("d6", "edge", "properties", "string"),
+)
+
+
 def graph_xml_lines(nodes: DataFrame, edges: DataFrame, kind: str = "graphml") -> DataFrame:
     """``section, id, line``: an XML element per node and edge, made where the rows are; ``section`` orders them."""
     c = lambda name, df: F.col(name) if name in df.columns else F.lit(None).cast("string")
     attr = lambda name, value: F.concat(F.lit(f' {name}="'), _xml(value), F.lit('"'))
     if kind == "graphml":
         data = lambda key, value: F.concat(F.lit(f'<data key="{key}">'), _xml(value), F.lit("</data>"))
-        node = F.concat(F.lit("<node"), attr("id", F.col("id")), F.lit(">"), data("d0", c("content", nodes)), data("d1", c("node_type", nodes)), F.lit("</node>"))
-        edge = F.concat(F.lit("<edge"), attr("id", F.col("id")), attr("source", F.col("src")), attr("target", F.col("dst")), F.lit(">"), data("d4", c("edge_type", edges)), data("d5", c("weight", edges)), F.lit("</edge>"))
+        # Vectors and properties are JSON texts; a row without any has no element for them.
+        more = lambda key, name, df: F.coalesce(F.when(F.col(name).isNotNull(), data(key, F.to_json(name))), F.lit("")) if name in df.columns else F.lit("")
+        node = F.concat(F.lit("<node"), attr("id", F.col("id")), F.lit(">"), data("d0", c("content", nodes)), data("d1", c("node_type", nodes)), more("d2", "vector", nodes), more("d3", "properties", nodes), F.lit("</node>"))
+        edge = F.concat(F.lit("<edge"), attr("id", F.col("id")), attr("source", F.col("src")), attr("target", F.col("dst")), F.lit(">"), data("d4", c("edge_type", edges)), data("d5", c("weight", edges)), more("d6", "properties", edges), F.lit("</edge>"))
     elif kind == "gexf":
         value = lambda key, v: F.concat(F.lit(f'<attvalue for="{key}"'), attr("value", v), F.lit("/>"))
         node = F.concat(F.lit("<node"), attr("id", F.col("id")), attr("label", c("content", nodes)), F.lit("><attvalues>"), value("0", c("node_type", nodes)), F.lit("</attvalues></node>"))
@@ -120,7 +129,7 @@ def export_graph(nodes: DataFrame, edges: DataFrame, kind: str = "graphml") -> s
     for row in graph_xml_lines(nodes, edges, kind).orderBy("section", "id").toLocalIterator():
         parts[row["section"]].append(row["line"])
     if kind == "graphml":
-        keys = "".join(f'<key id="{k}" for="{f}" attr.name="{n}" attr.type="{t}"/>' for k, f, n, t in (("d0", "node", "content", "string"), ("d1", "node", "type", "string"), ("d4", "edge", "type", "string"), ("d5", "edge", "weight", "double")))
+        keys = "".join(f'<key id="{k}" for="{f}" attr.name="{n}" attr.type="{t}"/>' for k, f, n, t in GRAPHML_KEYS)
         return f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="{GRAPHML}">{keys}<graph edgedefault="directed">{"".join(parts[0])}{"".join(parts[1])}</graph></graphml>'
     return (
         f'<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="{GEXF}" version="1.2"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="type" type="string"/></attributes>'
@@ -129,32 +138,33 @@ def export_graph(nodes: DataFrame, edges: DataFrame, kind: str = "graphml") -> s
 
 
 def import_graph(spark: SparkSession, text: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, content, node_type) and edges (id, src, dst, edge_type, weight) of a graph text."""
+    """Nodes (id, content, node_type, vector, properties) and edges (id, src, dst, edge_type, weight, properties) of a graph text."""
     kind = kind or detect_format(text)
     nodes, edges = [], []
     if kind == "json":
         import json
 
         read = json.loads(text)
-        nodes = [(n["id"], n.get("content"), n.get("node_type")) for n in read["nodes"]]
-        edges = [(e["id"], e["src"], e["dst"], e.get("edge_type"), float(e.get("weight") or 1)) for e in read["edges"]]
+        text_of = lambda x: None if x is None else json.dumps(x)
+        nodes = [(n["id"], n.get("content"), n.get("node_type"), text_of(n.get("vector")), text_of(n.get("properties"))) for n in read["nodes"]]
+        edges = [(e["id"], e["src"], e["dst"], e.get("edge_type"), float(e.get("weight") or 1), text_of(e.get("properties"))) for e in read["edges"]]
     else:
         ns = f"{{{GRAPHML if kind == 'graphml' else GEXF}}}"
         root = ET.fromstring(text)
         for x in root.iter(ns + "node"):
             if kind == "graphml":
                 data = {e.get("key"): e.text for e in x.iter(ns + "data")}
-                nodes.append((x.get("id"), data.get("d0"), data.get("d1")))
+                nodes.append((x.get("id"), data.get("d0"), data.get("d1"), data.get("d2"), data.get("d3")))
             else:
                 values = {e.get("for"): e.get("value") for e in x.iter(ns + "attvalue")}
-                nodes.append((x.get("id"), x.get("label") or None, values.get("0")))
+                nodes.append((x.get("id"), x.get("label") or None, values.get("0"), None, None))
         for x in root.iter(ns + "edge"):
             data = {e.get("key"): e.text for e in x.iter(ns + "data")} if kind == "graphml" else {"d4": x.get("label"), "d5": x.get("weight")}
-            edges.append((x.get("id"), x.get("source"), x.get("target"), data.get("d4"), float(data.get("d5") or 1)))
-    return (
-        spark.createDataFrame(nodes, "id string, content string, node_type string"),
-        spark.createDataFrame(edges, "id string, src string, dst string, edge_type string, weight double"),
-    )
+            edges.append((x.get("id"), x.get("source"), x.get("target"), data.get("d4"), float(data.get("d5") or 1), data.get("d6")))
+    n = spark.createDataFrame(nodes, "id string, content string, node_type string, vector string, properties string")
+    e = spark.createDataFrame(edges, "id string, src string, dst string, edge_type string, weight double, properties string")
+    properties = F.from_json("properties", "map<string,string>")
+    return n.withColumns({"vector": F.from_json("vector", "array<float>"), "properties": properties}), e.withColumn("properties", properties)
 
 
 def detect_format(text: str) -> str:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vectors as V
-from ..operators.store import upsert
+from ..operators.store import latest
 
 
 def scored_stream(vectors: DataFrame, query: Sequence[float], threshold: float = 0.0, metric: str = "cosine", vector: str = "vector") -> DataFrame:
@@ -59,25 +60,63 @@ def windowed_counts(stream: DataFrame, event_time: str, length: str, by: str, la
 
 
 class IncrementalTable:
-    """A Parquet table that a stream is merged into batch by batch; versions alternate, so a reader never sees half of one."""
+    """A Parquet table that a stream is merged into batch by batch, in parts by a hash of the key.
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "id") -> None:
-        self.spark, self.path, self.key, self.version = spark, path, key, -1
+    A batch rewrites the parts that its keys are in and no others, each into a folder of the batch; then a manifest names
+    the folder of every part, so a reader never sees half of a batch and a table can be opened again. The row of the
+    greatest version of a key wins, however late or often it comes. Folders that no manifest of the last two names go.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", version: str = "version", parts: int = 16) -> None:
+        self.spark, self.path, self.key, self.version, self.parts = spark, path.rstrip("/"), key, version, parts
+        self.where: dict[int, str] = {}  # part: folder
+        self.before: set[str] = set()
+        try:
+            last = spark.read.parquet(self.path + "/manifest")
+        except AnalysisException:  # a new table
+            return
+        newest = last.agg(F.max("batch_id")).first()[0]
+        self.where = {r["part"]: r["folder"] for r in last.where(F.col("batch_id") == newest).collect()}  # ``parts`` rows
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+
+    def _folders(self, folders: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*folders) if folders else None
 
     def read(self) -> DataFrame | None:
-        return None if self.version < 0 else self.spark.read.parquet(f"{self.path}/v={self.version}")
+        return self._folders(sorted(self.where.values()))
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Last row of each key in a batch wins. A batch that is sent again gives the same table."""
-        new = batch.dropDuplicates([self.key])
-        old = self.read()
-        (new if old is None else upsert(old, new, self.key)).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self.version = batch_id
+        """A batch that is sent again gives the same table."""
+        if any(folder.startswith(f"{self.path}/b{batch_id}/") for folder in self.where.values()):
+            return  # its manifest is there
+        new = batch.withColumn("_part", self._part()).persist()
+        try:
+            touched = [r[0] for r in new.select("_part").distinct().collect()]  # at most ``parts``
+            old = self._folders([self.where[p] for p in touched if p in self.where])
+            rows = new.drop("_part") if old is None else old.unionByName(new.drop("_part"), allowMissingColumns=True)
+            merged = latest(rows, self.key, self.version).withColumn("_part", self._part())
+            merged.write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/b{batch_id}")
+        finally:
+            new.unpersist()
+        replaced = {self.where[p] for p in touched if p in self.where}
+        self.where = self.where | {p: f"{self.path}/b{batch_id}/_part={p}" for p in touched}
+        rows = [(batch_id, p, folder) for p, folder in self.where.items()]
+        self.spark.createDataFrame(rows, "batch_id bigint, part int, folder string").coalesce(1).write.mode("append").parquet(self.path + "/manifest")
+        for folder in self.before - set(self.where.values()):
+            self._remove(folder)
+        self.before = replaced
+
+    def _remove(self, folder: str) -> None:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
     def with_pending(self, pending: DataFrame) -> DataFrame:
         """The table as if pending rows had been merged."""
         old = self.read()
-        return pending if old is None else upsert(old, pending, self.key)
+        return latest(pending if old is None else old.unionByName(pending, allowMissingColumns=True), self.key, self.version)
 
 
 def trigger_stream(messages: DataFrame, every: int = 2, window: int = 6, role: str = "user", session: str = "session_id", key: str = "id") -> DataFrame:
