@@ -1,7 +1,16 @@
 """Corpus pipeline: toxicity, quality rules, near-duplicates, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's documents. All stages but the last return the columns of ``documents``.
+next stage's documents. All stages but the last return the columns of ``documents``; other columns are left out.
+
+Defined results of the stages
+  null text         not toxic unless the model's bias says so; rejected by the quality rules, which ask for ten words
+  empty text        the same
+  very long text    every stage takes it whole
+  null doc_id       kept by the near-duplicate stage, judged by its text in the others
+  repeated rows     judged alike, so all of them stay or all go; of rows with one id and other texts each by its own text
+  ties              of near-duplicates the least doc_id stays
+  empty table       no rows; without labels nothing is toxic
 """
 
 from __future__ import annotations
