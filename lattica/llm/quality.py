@@ -35,6 +35,7 @@ BOILERPLATE = (
     r"follow us on|share (this|on) (facebook|twitter)|skip to (main )?content|powered by|lorem ipsum)\b"
 )
 NAVIGATION = r"[|»›·•]|(^|\s)(>|/|::)(\s|$)"
+SEPARATORS = r"[|»›·•>/:]"  # characters that every separator has one of
 SYMBOLS = r"[#*$%&|<>]"
 COUNTED_SYMBOLS = r"[#*$%&|<>]"
 
@@ -80,13 +81,15 @@ def repeated_words(words: Column, n: Column) -> Column:
 def line_fails(line: Column, words: Column, config: QualityConfig) -> Column:
     """Whether a line with words fails a punctuation, navigation or boilerplate rule. ``words``: their number."""
     symbols, bangs = F.regexp_count(line, F.lit(SYMBOLS)), F.regexp_count(line, F.lit("[!?]"))
-    capitals, letters = F.regexp_count(line, F.lit(r"\p{Lu}")), F.regexp_count(line, F.lit(r"\p{L}"))
+    # Letters are counted by taking runs of other characters out: a list of single letters would be far longer.
+    capitals, letters = (F.length(F.regexp_replace(line, rf"\P{{{kind}}}+", "")) for kind in ("Lu", "L"))
+    # What is cheap or seldom true comes first, the rest is then not asked.
     return (
         (symbols * 100 > words * config.symbol_percent)
-        | ((bangs * 100 > words * config.bang_percent) & (bangs > 2))
-        | ((words >= config.shout_words) & (capitals * 100 > letters * config.shout_percent))
-        | ((F.regexp_count(line, F.lit(NAVIGATION)) * 100 > words * config.separator_percent) & (words > 1))
-        | (line.rlike(BOILERPLATE) & (words <= config.notice_words))
+        | let(bangs, lambda n: (n > 2) & (n * 100 > words * config.bang_percent))
+        | ((words >= config.shout_words) & let(capitals, lambda n: (n > 0) & (n * 100 > letters * config.shout_percent)))
+        | ((words > 1) & line.rlike(SEPARATORS) & (F.regexp_count(line, F.lit(NAVIGATION)) * 100 > words * config.separator_percent))
+        | ((words <= config.notice_words) & line.rlike(BOILERPLATE))
     )
 
 
