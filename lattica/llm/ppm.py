@@ -24,6 +24,7 @@ Defined results
   repeated rows         scored, and learned from, each on its own
   ties                  broken by word and by gram
   no training rows      N and V are 0; every byte is coded by the uniform choice
+  very long text        scored whole, in one task; its grams and words are counted with all others
   empty table           no rows
   other columns         ignored
 """

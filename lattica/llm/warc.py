@@ -11,7 +11,7 @@ Defined results
   long payload    stored and read like any other; a row holds it whole
   null page_id    the record's id is made of a digest of url and payload, and it never becomes the target of a revisit,
                   unless all records with its payload lack one; then all of those are responses
-  repeated rows   rows with the same page_id and payload are records of the same kind
+  repeated rows   rows with the same page_id and payload are records of the same kind, and with the same record id
   ties            none: of records with equal payloads the largest page_id is the response
   empty table     an empty archive
   other columns   ignored
