@@ -1,7 +1,7 @@
 """Approximate search and quantization: IVF, LSH, scalar, binary and product codes, combination of indexes.
 
-An index is a DataFrame that can be written and pruned: IVF by centroid, LSH by table and hash. Graph indexes
-(HNSW) have no form that a cluster can prune; exact search answers in their place, with at least their recall.
+An index is a DataFrame that can be written and pruned: IVF by centroid, LSH by table and hash. ``indexes`` has the
+stored forms, with graphs inside the cells.
 """
 
 from __future__ import annotations

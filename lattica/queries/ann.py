@@ -157,12 +157,13 @@ for _how, _sql in (
     ("rerank", "SELECT id, round(second, 6) AS score FROM f WHERE first > 0 ORDER BY second NULLS LAST, id LIMIT 10"),
     ("vote", "SELECT id, round(mean - 0.1 * votes, 6) AS score FROM f ORDER BY votes DESC, mean - 0.1 * votes, id LIMIT 10"),
     ("primary", "SELECT id, round(g, 6) AS score FROM a"),
-    ("fill", "SELECT id, round(g, 6) AS score FROM a"),
+    ("fill", "SELECT id, round(own, 6) AS score FROM (SELECT id, min(g) AS least, arg_min(g, n) AS own, count(*) FILTER (n = 0) AS first FROM (SELECT *, 0 AS n FROM (SELECT * FROM a ORDER BY g, id LIMIT 4) UNION ALL SELECT *, 1 FROM b) GROUP BY 1 ORDER BY first DESC, least, id LIMIT 10)"),
 ):
 
     @query(f"ann_multi_{_how}", f"WITH {_TWO} {_sql}")
     def _multi(spark, d, how=_how):
         a, b = _two(spark, d)
+        a = a.orderBy("distance", "id").limit(4) if how == "fill" else a  # short of rows, so there is something to fill
         return A.combine(a, [b], how).select("id", F.round("score", 6).alias("score"))
 
 

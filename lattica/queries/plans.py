@@ -17,7 +17,7 @@ from ..sources import formats as Fo
 from ..streaming import streams as X
 from . import query
 from .graph import graph_edges, graph_nodes
-from .text import SET
+from .text import ROUTER, SET
 from .vectors import E_COS, ONE, query_vector, vectors_of
 
 
@@ -129,13 +129,15 @@ _M = f"m AS (SELECT e.vec_id::VARCHAR AS id, {E_COS} AS s, d.lang, list_distinct
 
 
 @query("recall_tempr", f"""WITH {_M}, a AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM m QUALIFY r <= 10), e AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM m WHERE lang = 'fr' QUALIFY r <= 10),
-t AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM m WHERE id::BIGINT BETWEEN 24 AND 240 QUALIFY r <= 10), u AS (SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT * FROM t)
+t AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM m WHERE id::BIGINT BETWEEN 24 AND 240 QUALIFY r <= 10), h AS (SELECT id, len(tokens) AS len, unnest(list_filter(tokens, lambda x: x IN ('thing', 'der'))) AS term FROM m), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1), n AS (SELECT count(*) AS n, avg(len(tokens)) AS al FROM m),
+k AS (SELECT id, row_number() OVER (ORDER BY b DESC, id) AS r FROM (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / al))) AS b FROM h JOIN f USING (term), n GROUP BY 1) QUALIFY r <= 10),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT * FROM t UNION ALL SELECT * FROM k)
 SELECT id, round(sum(1 / (60.0 + r)), 6) AS score FROM u GROUP BY 1 ORDER BY sum(1 / (60.0 + r)) DESC, id LIMIT 10""")
 def _recall(spark, d):
     from datetime import datetime, timezone
 
     span = (datetime(1970, 1, 2, tzinfo=timezone.utc), datetime(1970, 1, 11, tzinfo=timezone.utc))
-    found = M.recall(memories(spark, d), "b0", 10, query_vector(spark, d), between=span, entities=["FR"])
+    found = M.recall(memories(spark, d), "b0", 10, query_vector(spark, d), ["thing", "DER"], span, ["FR"])
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -157,11 +159,20 @@ def _route(spark, d):
     return Ro.route_dense(rows, routes).withColumn("score", F.round("score", 6))
 
 
-@query("route_sparse")
+_ROUTED = f"""WITH rt AS (SELECT item_id AS id, 'r' || item_id % 5 AS name, {ROUTER} AS tokens FROM benchmark), dt AS (SELECT doc_id AS id, {ROUTER} AS tokens FROM documents),
+rf AS (SELECT id, name, term, count(*) AS tf FROM (SELECT id, name, unnest(tokens) AS term FROM rt) GROUP BY ALL), i AS (SELECT term, ln((SELECT count(*) FROM rt) / count(*)) AS idf FROM rf GROUP BY 1),
+rw AS (SELECT id, name, term, tf * idf AS w FROM rf JOIN i USING (term)), dw AS (SELECT id, term, any_value(idf) * count(*) AS w FROM (SELECT id, unnest(tokens) AS term FROM dt) JOIN i USING (term) GROUP BY 1, 2),
+rl AS (SELECT id, sqrt(sum(w * w)) AS l FROM rw GROUP BY 1), dl AS (SELECT id, sqrt(sum(w * w)) AS l FROM dw GROUP BY 1), p AS (SELECT dw.id AS q, rw.id AS r, any_value(name) AS name, sum(dw.w * rw.w) AS dot FROM dw JOIN rw USING (term) GROUP BY 1, 2),
+s AS (SELECT q AS query_id, name, max(CASE WHEN dl.l * rl.l > 0 THEN dot / (dl.l * rl.l) ELSE 0 END) AS score FROM p JOIN dl ON dl.id = q JOIN rl ON rl.id = r GROUP BY 1, 2)
+SELECT query_id, round(max(score), 6) AS score, max(score) >= 0.3 AS matched FROM s GROUP BY 1"""
+
+
+@query("route_sparse", _ROUTED)
 def _route_sparse(spark, d):
     bench = table(spark, d, "benchmark")
     routes = bench.select(F.col("item_id").alias("id"), F.concat(F.lit("r"), (F.col("item_id") % 5).cast("string")).alias("name"), "text")
-    return Ro.route_sparse(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), routes)
+    found = Ro.route_sparse(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), routes)
+    return found.select("query_id", F.round("score", 6).alias("score"), "matched")  # names of equal scores hang on the last bits
 
 
 @query("route_hybrid")
