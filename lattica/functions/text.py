@@ -134,19 +134,33 @@ def hashed_vector(text: str | None, dim: int = 64) -> np.ndarray:
     return out
 
 
+def hashed_many(texts: Sequence[str | None], dim: int) -> np.ndarray:
+    """Vectors of texts, a row each: every distinct word is hashed once, and words are counted by array operations."""
+    words = [[w for w in map(lambda w: w.strip(TOKEN_EDGES), t.lower().split()) if w] if t else [] for t in texts]
+    place = {w: fnv1a64(w.encode()) % dim for w in set().union(*words)}
+    sizes = [len(w) for w in words]
+    at = np.repeat(np.arange(len(words)) * dim, sizes) + np.fromiter((place[w] for ws in words for w in ws), np.int64, sum(sizes))
+    out = np.bincount(at, minlength=len(words) * dim).astype(np.float32).reshape(len(words), dim)
+    out[np.array(sizes, np.int64) == 0, 0] = 1
+    return out
+
+
 def hashed_vectors(dim: int = 64):
     """Arrow UDF: counts of a text's tokens by FNV-1a hash modulo ``dim``; the first unit vector for none."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            yield series.map(lambda t: hashed_vector(t, dim))
+            yield pd.Series(list(hashed_many(series.tolist(), dim)), dtype=object)
 
     return run
 
 
 def mock_vector(text: str | None, dim: int) -> np.ndarray:
-    """Deterministic vector of a text: a linear congruential generator started by the text's polynomial hash."""
+    """Deterministic vector of a text: a linear congruential generator started by the text's polynomial hash.
+
+    Fixed values: the generator's constants.
+    """
     h = 0
     for c in text or "":
         h = h * 31 + ord(c) & 0xFFFFFFFF

@@ -146,7 +146,9 @@ def _observe(spark, d):
     return M.observe(memories(spark, d), M.Bank("b", skepticism=4))
 
 
-@query("reflect_context")
+@query("reflect_context", f"""WITH m AS (SELECT e.vec_id::VARCHAR AS id, {E_COS} AS s, e.label % 4 AS kind, d.text FROM {ONE} JOIN documents d ON d.doc_id = e.vec_id WHERE e.label % 2 = 0 ORDER BY s DESC, id LIMIT 10),
+l AS (SELECT string_agg('- ' || text || ' (score: ' || printf('%.3f', s) || ')' || chr(10), '' ORDER BY s DESC, id) FILTER (kind = 0) AS w, string_agg('- ' || text || ' (confidence: 0.50)' || chr(10), '' ORDER BY s DESC, id) FILTER (kind = 2) AS o FROM m)
+SELECT c AS context, length(c) // 4 AS tokens FROM (SELECT substring('# Relevant Memories for: what is known' || chr(10) || chr(10) || coalesce('## Facts' || chr(10) || w || chr(10), '') || coalesce('## Insights' || chr(10) || o || chr(10), ''), 1, 2000) AS c FROM l)""")
 def _reflect(spark, d):
     rows = memories(spark, d)
     return M.reflect(M.recall(rows, "b0", 10, query_vector(spark, d)).join(rows, "id"), "what is known", 500)
@@ -182,7 +184,8 @@ def _route_hybrid(spark, d):
     return Ro.route_hybrid(rows, routes)
 
 
-@query("extract_params")
+@query("extract_params", r"""SELECT doc_id AS id, nullif(regexp_extract(lower(text), 'the\s+[:是]?\s*["'']?([^"''\s,。.!?]+)["'']?', 1), '') AS the,
+CASE WHEN regexp_matches(text, '[0-9]') THEN TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) WHEN regexp_matches(lower(text), 'n\s+[:是]?\s*["'']?([^"''\s,。.!?]+)["'']?') THEN NULL ELSE 0 END AS n FROM documents""")
 def _extract(spark, d):
     schema = Ro.FunctionSchema("f").with_parameter("the", Ro.Parameter()).with_parameter("n", Ro.Parameter("int", pattern=r"(\d+)", default=0))
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -84,3 +84,13 @@ def test_adapt(spark):
     df = spark.createDataFrame([([3.0, -4.0, 1.0],)], "v array<float>")
     got = df.select(V.adapt(F.col("v"), 2, "truncate"), V.adapt(F.col("v"), 4, "pad"), V.truncate_by_importance(F.col("v"), 2), V.adapt(F.col("v"), 5)).first()
     assert got[0] == pytest.approx([0.6, -0.8]) and got[2] == pytest.approx([0.6, -0.8]) and len(got[1]) == 4 and got[1][3] == 0 and len(got[3]) == 5
+
+
+def test_hashed_vectors_of_many_texts():
+    import numpy as np
+
+    from lattica.functions import text as T
+
+    texts = ["Thing of, thing (of) it", None, "", " .,; ", "Äpfel äpfel x" * 3]
+    assert (T.hashed_many(texts, 16) == np.stack([T.hashed_vector(t, 16) for t in texts])).all()
+    assert T.hashed_many([], 16).shape == (0, 16)
