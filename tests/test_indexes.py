@@ -144,3 +144,56 @@ def test_graph_files_keep_vectors_and_properties(spark, kind):
     got = {r["id"]: r for r in n.collect()}
     assert got["a"]["vector"] == [1.0, 2.5] and got["a"]["properties"] == {"k": 'v"&'} and got["b"]["vector"] is None
     assert e.first()["properties"] == {"p": "q"}
+
+
+def test_product_codes_with_rescoring(spark):
+    """Product codes name candidates, exact distances order them: recall of 0.9 at least."""
+    from lattica.functions import vectors as V
+    from lattica.operators.ann import ProductQuantizer
+
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 16)) * 2
+    data = (centres[rng.integers(0, 20, 500)] + rng.standard_normal((500, 16)) * 0.6).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, vector array<float>")
+    quantizer = ProductQuantizer.train(rows, 8, 16)
+    coded = quantizer.encode(rows).cache()
+    hits = 0
+    for q in range(0, 500, 100):
+        near = quantizer.search(coded, data[q].tolist(), 60, squared=True)
+        best = near.withColumn("exact", V.distance(F.col("vector"), data[q].tolist())).orderBy("exact", "id").limit(10)
+        hits += len({r["id"] for r in best.collect()} & set(nearest(data, q, 10)))
+    assert hits / 50 >= 0.9
+    stored = {(m, c): v for m, c, v in quantizer.rows()}
+    books = np.array([[stored[m, c] for c in range(16)] for m in range(8)])
+    assert ProductQuantizer(books).decode(coded.where("id = 3").first()["code"]) == quantizer.decode(coded.where("id = 3").first()["code"])
+
+
+def test_random_projections_keep_neighbours(spark):
+    """Texts of equal words have equal hashed vectors; a row's nearest by hashed signs is itself."""
+    from lattica.operators.ann import Lsh
+
+    data, rows = vectors(spark, 200, 16)
+    lsh = Lsh(16, 6, 6)
+    index = lsh.index(rows)
+    assert index.count() == 1200 and index.groupBy("id").count().where("count <> 6").count() == 0
+    found = lsh.search(index, rows.where("id % 20 = 0"), 5)
+    assert recall(found, data, 5) == 1.0
+
+
+@pytest.mark.parametrize("k", [1, 4, 12])
+def test_determinantal_choice_against_plain_steps(k):
+    """Every step takes the candidate of greatest K_ii less the sum of K_ij^2 / K_jj over the chosen ones, worked out anew."""
+    from lattica.operators import rank as R
+
+    rng = np.random.default_rng(k)
+    data, scores = rng.standard_normal((12, 5)), rng.random(12) + 0.1
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    kernel = lambda i, j: scores[i] if i == j else float(unit[i] @ unit[j]) * np.sqrt(scores[i] * scores[j])
+    chosen: list[int] = []
+    while len(chosen) < k:
+        gains = {i: kernel(i, i) - sum(kernel(i, j) ** 2 / kernel(j, j) for j in chosen) for i in range(12) if i not in chosen}
+        best = max(gains, key=lambda i: (gains[i], -i))
+        if gains[best] <= 0:
+            break
+        chosen.append(best)
+    assert R.determinantal(scores, data, k) == (chosen if k < 12 else list(range(12)))
