@@ -141,9 +141,20 @@ def _recall(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("observe_patterns")
+def observed_sql(where: str) -> str:
+    """What is observed in the memories that meet a condition: kind, subject, memories, confidence."""
+    mentions = lambda words: "regexp_matches(t, '" + "|".join(words) + "')"
+    return f"""WITH m AS (SELECT d.lang, d.source, lower(coalesce(d.text, '')) AS t FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE {where}),
+w AS (SELECT unnest(list_filter(string_split_regex(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: strlen(w) > 4)) AS word FROM m), k AS (SELECT lang, source, {mentions(M.PREFERENCE_WORDS)} AS p, {mentions(M.CAUSE_WORDS)} AS c FROM m),
+s AS (SELECT lang AS subject, p, c FROM k UNION ALL SELECT source, p, c FROM k WHERE source IS DISTINCT FROM lang), g AS (SELECT subject, count(*) AS n, bool_or(p) AS p, bool_or(c) AS c FROM s WHERE subject IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+top AS (SELECT word FROM w GROUP BY 1 HAVING count(*) >= 2 ORDER BY count(*) DESC, word LIMIT 1)
+SELECT kind, subject, n AS memories, round(greatest(least(least(n / 10.0, 0.9) * 0.8, 1.0), 0.1), 6)::DOUBLE AS confidence FROM (SELECT 'preference' AS kind, subject, n FROM g WHERE p UNION ALL SELECT 'causal', subject, n FROM g WHERE c
+  UNION ALL SELECT 'generalization', word, (SELECT count(*) FROM m) FROM top)"""
+
+
+@query("observe_patterns", observed_sql("true"))
 def _observe(spark, d):
-    return M.observe(memories(spark, d), M.Bank("b", skepticism=4))
+    return M.observe(memories(spark, d), M.Bank("b", skepticism=4)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("reflect_context", f"""WITH m AS (SELECT e.vec_id::VARCHAR AS id, {E_COS} AS s, e.label % 4 AS kind, d.text FROM {ONE} JOIN documents d ON d.doc_id = e.vec_id WHERE e.label % 2 = 0 ORDER BY s DESC, id LIMIT 10),

@@ -16,7 +16,7 @@ from ..plans import routing as Ro
 from ..session import table
 from . import query
 from .graph import graph_edges, graph_nodes
-from .plans import memories, messages
+from .plans import memories, messages, observed_sql
 from .text import KEYWORDS, SET, documents
 from .vectors import E_COS, ONE, query_vector, vectors_of
 
@@ -130,13 +130,7 @@ def _banks_delete(spark, d):
     return banks.select(F.col("id").alias("bank")).join(kept.groupBy(F.col("bank_id").alias("bank")).agg(F.count("*").alias("memories")), "bank")
 
 
-@query("observations_store", """WITH m AS (SELECT d.lang, d.source, lower(coalesce(d.text, '')) AS t FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.label % 2 = 0),
-w AS (SELECT unnest(list_filter(string_split_regex(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: strlen(w) > 4)) AS word FROM m),
-k AS (SELECT lang, source, regexp_matches(t, 'prefers|likes|enjoys|chooses|selects') AS p, regexp_matches(t, 'because|since|due to|caused|resulted in|led to') AS c FROM m),
-s AS (SELECT lang AS subject, p, c FROM k UNION ALL SELECT source, p, c FROM k WHERE source <> lang), g AS (SELECT subject, count(*) AS n, bool_or(p) AS p, bool_or(c) AS c FROM s WHERE subject IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-top AS (SELECT word FROM w GROUP BY 1 HAVING count(*) >= 2 ORDER BY count(*) DESC, word LIMIT 1)
-SELECT kind || ': ' || subject AS content, round(greatest(least(least(n / 10.0, 0.9) * 0.8, 1.0), 0.1), 6) AS confidence FROM (SELECT 'preference' AS kind, subject, n FROM g WHERE p UNION ALL SELECT 'causal', subject, n FROM g WHERE c
-  UNION ALL SELECT 'generalization', word, (SELECT count(*) FROM m) FROM top)""")
+@query("observations_store", f"SELECT kind || ': ' || subject AS content, confidence FROM ({observed_sql('e.label % 2 = 0')})")
 def _observations(spark, d):
     """What is observed in a bank is stored in it, twice the same, and read back."""
     rows = memories(spark, d)

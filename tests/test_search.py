@@ -94,3 +94,15 @@ def test_hashed_vectors_of_many_texts():
     texts = ["Thing of, thing (of) it", None, "", " .,; ", "Äpfel äpfel x" * 3]
     assert (T.hashed_many(texts, 16) == np.stack([T.hashed_vector(t, 16) for t in texts])).all()
     assert T.hashed_many([], 16).shape == (0, 16)
+
+
+def test_title_entities_of_whole_texts(spark):
+    """Runs of capitalised words, letters beyond ASCII included in what bounds a word."""
+    import re
+
+    from lattica.functions import text as T
+
+    texts = ["Große Straße in Zürich Mitte", "Alpha Beta2 and Alpha  Beta2", "naïve Élan Xavier", "", None, "A B Cd\nEf g", "«Paris» (Lyon) Nice_1 x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {r["id"]: r["x"] for r in rows.select("id", T.title_entities(F.col("text")).alias("x")).collect()}
+    assert got == {i: list(dict.fromkeys(re.findall(r"\b([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)*)\b", t or ""))) for i, t in enumerate(texts)}
