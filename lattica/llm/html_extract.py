@@ -173,13 +173,12 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-#: Sampled addresses for each range, which the driver sorts.
-SAMPLED = 30
+#: Sampled addresses for each range, which the driver sorts; pages of a range; most ranges that follow from that.
+SAMPLED, RANGE_PAGES, RANGES = 30, 2048, 20_000
 
 
-def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
-    """Least keys of all ranges but the first, from a sample."""
-    n = keys.count()
+def _bounds(keys: DataFrame, n: int, parts: int) -> list[tuple]:
+    """Least keys of all ranges but the first, from a sample of the n rows."""
     if parts < 2 or not n:
         return []
     wanted = SAMPLED * parts
@@ -205,16 +204,17 @@ def _part(k: Column, bounds: list[tuple]) -> Column:
 def extract_main_text(pages: DataFrame, prefix: int | None = None, parts: int | None = None) -> DataFrame:
     """``page_id, url, text, n_chars, n_shared`` for every row of ``pages(page_id, url, html)``; n_shared lines went because the paired page has them.
 
-    ``parts``: how many ranges, by default as many as shuffle partitions; ``prefix``: of no effect, callers still pass it.
+    ``parts``: how many ranges, by default as many as shuffle partitions, or more for a table of more pages; ``prefix``: of no effect, callers still pass it.
     """
     spark = pages.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select("page_id", "url", "html")
     address = F.regexp_replace(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     rows = rows.withColumn("host", F.lower(F.regexp_extract(address, "^[^/?#]*", 0))).withColumn("path", F.regexp_extract(address, "^[^/?#]*([^?#]*)", 1))
     rows = rows.withColumn("at", F.coalesce(F.col("page_id").cast("bigint"), F.lit(-(1 << 63))))
     key = ("host", "path", "at")
-    bounds = _bounds(rows.select(*key), parts)
+    n = rows.count()
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-n // RANGE_PAGES), RANGES))
+    bounds = _bounds(rows.select(*key), n, parts)
     rows = rows.withColumn("k", F.struct(*key))
     if bounds:
         rows = rows.withColumn("part", _part(F.col("k"), bounds))
