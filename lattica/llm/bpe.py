@@ -5,8 +5,8 @@ order. Two levels of 256-bit words say which buckets hold anything, so the lowes
 find-first-set steps. Entries whose pair has changed since are skipped when they surface. A merge costs a
 constant number of queue steps whatever the pre-token's length, so a pre-token of megabytes is no trouble.
 
-Pre-tokens repeat, so a task keeps the ids of those it has met, up to ``CACHE_BYTES``, and drops them when its
-partition ends. New ones of a block of texts go through one queue together: their lists lie side by side, a bucket
+Pre-tokens repeat, so a worker keeps the ids of those it has met, up to ``CACHE_BYTES`` while a partition lasts and
+half of that between its tasks. New ones of a block of texts go through one queue together: their lists lie side by side, a bucket
 holds positions of all of them, and a step merges the leftmost position of every pre-token in the bucket with array
 operations. Long pre-tokens, and those of blocks with few new ones, go through the queue alone; both ways give
 the same ids, which the tests compare.
@@ -43,7 +43,7 @@ from .common import text_blocks, tidied
 #: The characters of the property White_Space, as ranges.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-CACHE_BYTES = 24 << 20  # of a task's cache, besides the block at hand
+CACHE_BYTES = 24 << 20  # of a worker's cache, besides the block at hand
 ENTRY_BYTES = 190  # of an entry beside its characters and ids
 LONG_PIECE = 2048  # bytes of a pre-token that goes through the queue alone
 FEW_PIECES = 48  # fewer new pre-tokens go through it one by one
@@ -156,8 +156,8 @@ class Encoder:
         self.held = 0  # bytes of the younger one
 
     def release(self) -> None:
-        """Forget all pre-tokens."""
-        self.cache, self.older, self.held = {}, {}, 0
+        """Forget the older generation; the younger one, half of ``CACHE_BYTES`` and a block at most, serves the worker's next task."""
+        self.older = {}
 
     def pattern_for(self, text: str) -> re.Pattern:
         """The pattern to use for a text; both give the same pre-tokens on texts without odd characters."""

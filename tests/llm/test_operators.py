@@ -343,7 +343,7 @@ def test_edits_encode_only_their_surroundings(tk):
         assert state.encoded - before <= len(bpe_.findall(insert)) + touched + 4 * token_counts.LEAF
         assert state.n_tokens == len(tk.encode_ordinary(state.text)) and state.tree[1, 0] == len(state.text)
     bpe_.release()
-    assert not bpe_.cache and bpe_.packed(["alpha beta"])[0] == np.array(tk.encode_ordinary("alpha beta"), "<u4").tobytes()
+    assert not bpe_.older and bpe_.packed(["alpha beta"])[0] == np.array(tk.encode_ordinary("alpha beta"), "<u4").tobytes()
 
 
 def test_cache_is_bounded(monkeypatch, tk):
