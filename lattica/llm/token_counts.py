@@ -38,6 +38,7 @@ from .bpe import BLOCK, Encoder, encoder, load_ranks
 from .common import text_blocks, tidied
 
 LEAF = 32  # pre-tokens of a block
+COUNT_BLOCK = 3_000_000  # bytes of the texts whose new pre-tokens are encoded together
 CONTEXT = 2  # characters behind a pre-token's end that its match can depend on
 
 #: Schema of the column of edits: replace ``length`` characters from ``start`` by ``insert``.
@@ -49,6 +50,14 @@ def build_tree(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tree_over(leaves_of(sizes, counts))
 
 
+def leaves_by_joins(bpe: Encoder, pieces: list[str]) -> np.ndarray:
+    """``leaves_of`` of pre-tokens that the encoder's cache has, from the lengths of what they and their ids make together."""
+    ids, starts = list(map(bpe.cache.__getitem__, pieces)), range(0, len(pieces), LEAF)
+    sizes = [len("".join(pieces[i : i + LEAF])) for i in starts]
+    counts = [len(b"".join(ids[i : i + LEAF])) >> 2 for i in starts]
+    return np.array([sizes, counts], np.int64).T.reshape(-1, 2)
+
+
 def leaves_of(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A row of characters and tokens for every ``LEAF`` pre-tokens."""
     starts = np.arange(0, len(sizes), LEAF)
@@ -176,8 +185,8 @@ def count_tokens(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
 
     def counted(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in text_blocks(batch, text, BLOCK):
-                trees = [build_tree(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(bpe.counts(pieces), np.int64)) for pieces in bpe.pieces([t or "" for t in texts])]
+            for lo, hi, texts in text_blocks(batch, text, COUNT_BLOCK):
+                trees = [tree_over(leaves_by_joins(bpe, pieces)) for pieces in bpe.pieces([t or "" for t in texts])]
                 made = [pa.array([int(t[1, 1]) for t in trees], pa.int64()), _lists(trees)]
                 yield pa.RecordBatch.from_arrays([_column(batch, c).slice(lo, hi - lo) for c in carried] + made, [*carried, "n_tokens", "tree"])
 

@@ -515,3 +515,17 @@ def test_proximity_matches(spark):
                             want |= {(d, str(i), max(start, 0) + j, w) for j, w in enumerate(part) if w in need and total[w] == rare}
         assert got and got <= {x[:3] for x in want}
         assert {x[:2] for x in got} == {x[:2] for x in want}
+
+
+def test_leaves_by_joins_are_those_of_single_pre_tokens():
+    import public_tokenizers
+
+    from lattica.llm import token_counts as C
+    from lattica.llm.bpe import Encoder, load_ranks
+
+    bpe = Encoder(load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    for text in ("", "one", "a b " * 16, "x y " * 17, "héllo wörld 语言 ١٢٣ \n\n\t end " * 40, "\ud800 odd"):
+        pieces = bpe.pieces([text])[0]
+        want = C.leaves_of(np.array([len(p) for p in pieces], np.int64), np.array(bpe.counts(pieces), np.int64))
+        got = C.leaves_by_joins(bpe, pieces)
+        assert got.shape == want.shape and (got == want).all() and (C.tree_over(got) == C.tree_over(want)).all()
