@@ -176,6 +176,10 @@ class Encoder:
         """Have the ids of all pre-tokens of some lists in the cache."""
         if self.held > CACHE_BYTES // 2:
             self.cache, self.older, self.held = {}, self.cache, 0
+        self.add(*lists)
+
+    def add(self, *lists: list[str]) -> None:
+        """``learn`` what belongs to the block at hand: nothing goes for it."""
         cache, older = self.cache, self.older
         new = set().union(*lists).difference(cache)
         if older and new:
@@ -324,15 +328,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_encoders: dict[tuple[int, str, type[Encoder]], Encoder] = {}
 
 
-def encoder(rank_file: bytes, pattern: str) -> Encoder:
+def encoder(rank_file: bytes, pattern: str, kind: type[Encoder] = Encoder) -> Encoder:
     """This process's encoder; its tables, of the vocabulary's size, outlive a task, and whoever uses it releases its cache."""
-    key = (hash(rank_file), pattern)
+    key = (hash(rank_file), pattern, kind)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(rank_file, pattern)
+        _encoders[key] = kind(rank_file, pattern)
     return _encoders[key]
 
 

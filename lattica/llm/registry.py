@@ -63,9 +63,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.length("text"), F.lit(0))
     edit = lambda start, length, insert: F.struct(F.floor(start).cast("int").alias("start"), F.lit(length).alias("length"), F.lit(insert).alias("insert"))
     edits = F.array(edit(size / 4, 9, ""), edit(size / 2, 0, " edited text 42"), edit(size * 3 / 4, 5, "l'\u00e9t\u00e9"))
-    counted = token_counts.count_tokens(docs.withColumn("edits", edits), RANKS, public_tokenizers.PATTERN)
-    edited = token_counts.apply_edits(counted.withColumn("before", F.col("n_tokens")), RANKS, public_tokenizers.PATTERN)
-    return edited.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.size("edits").cast("bigint").alias("n_edits"), "n_encoded")
+    edited = token_counts.count_edits(docs.withColumn("edits", edits), RANKS, public_tokenizers.PATTERN, keep_state=False)
+    return edited.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.size("edits").cast("bigint").alias("n_edits"), "n_encoded")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
