@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -100,10 +101,17 @@ def text_blocks(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[tuple[
         yield lo, hi, column.slice(lo, hi - lo).to_pylist()
 
 
+@functools.cache
+def _freeze() -> None:
+    """Once in a worker: leave the modules that it has imported out of collections, which take 70 ms otherwise."""
+    gc.freeze()
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that gives freed memory back at its end: workers outlive their tasks beside the executor's heap."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _freeze()
         try:
             yield from run(batches)
         finally:

@@ -12,7 +12,8 @@ exponentially distributed hashes of the set's elements, as a truncated step of a
    link to, and the same one heads most of their buckets.
 3. Pairs are kept if sizes allow the threshold and the joint likelihood of both sketches, with the sets' exact
    sizes, doesn't rule it out; then the full sets decide.
-4. Components come from the confirmed links by large-star/small-star rounds over DataFrames.
+4. Components come from the confirmed links: blocks of about 2^20 links are contracted to stars, each by one task; what
+   several blocks leave goes on by large-star/small-star rounds over DataFrames.
 5. The members of all buckets of one head P form a group. Two of them in different components may still be linked,
    if at least one isn't linked to P. With D(x) the difference of x and P, x and y are linked if and only if
    |D(x) ^ D(y)| is small, and because |D| of an unlinked text is large, they must then share more than half of
@@ -64,6 +65,7 @@ class SketchConfig:
     seed: int = 20240229
     slack: float = 7.0  # standard deviations that an estimate may lie below the threshold
     block_bytes: int = 1_000_000
+    task_bytes: int = 8_000_000  # about what a Python task takes of sketches, sets or texts
 
     @property
     def registers(self) -> int:
@@ -182,9 +184,16 @@ def fingerprints(docs: DataFrame, config: SketchConfig) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(tidied(run), schema)
 
 
+def _packed(rows: DataFrame, size: int | None, config: SketchConfig) -> DataFrame:
+    """``rows`` of about ``size`` bytes in as many tasks as they ask for, and three a core: what starts and ends a Python pass takes longer than a small partition."""
+    least = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(least, -(-(size or 0) // config.task_bytes)))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, config: SketchConfig) -> DataFrame:
-    """``node, shingles`` of ``wanted(node, doc_id, digest)``; of rows with a repeated id, those whose set has the digest."""
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    """``node, shingles`` of ``wanted(node, doc_id, digest, n_shingles)``; of rows with a repeated id, those whose set has the digest."""
+    size = wanted.agg(8 * F.sum("n_shingles")).first()[0]  # a text has about as many bytes as its set
+    texts = docs.select("doc_id", "text").join(wanted.drop("n_shingles"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +206,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, config: SketchConfig) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
 
     # Equal rows of an id give equal sets.
-    return texts.select("node", "digest", "text").mapInArrow(tidied(run), "node bigint, shingles binary").dropDuplicates(["node"])
+    texts = _packed(texts.select("node", "digest", "text"), size, config)
+    return texts.mapInArrow(tidied(run), "node bigint, shingles binary").dropDuplicates(["node"])
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, config: SketchConfig) -> DataFrame:
@@ -218,12 +228,15 @@ def _likely(pairs: DataFrame, reps: DataFrame, config: SketchConfig) -> DataFram
                 keep.append(int((x == y).sum()) >= (floor - 0.1) * len(x) and estimate(x, y, m, n, config) >= floor)
             yield pa.RecordBatch.from_arrays([_column(batch, c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(tidied(run), "a bigint, b bigint")
+    both = _packed(both.select("a", "b", "n_a", "n_b", "k_a", "k_b"), 4 * config.registers * pairs.count(), config)
+    return both.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:
+    """``a, b, s_a, s_b``, packed for a Python pass as if all sets were as long as a class's on average."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a")
+    mean = sets.agg(F.avg(F.length("shingles"))).first()[0] or 0
+    return _packed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b"), int(2 * mean * pairs.count()), config)
 
 
 def _is_link(common: int, m: int, n: int, config: SketchConfig) -> bool:
@@ -242,12 +255,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, config: SketchConfig) -> DataF
                 keep.append(_is_link(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), config))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(tidied(run), "a bigint, b bigint")
+    return _with_sets(pairs, sets, config).mapInArrow(tidied(run), "a bigint, b bigint")
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links ``a, b`` and for each the least node of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        # Every root goes to the least root it is linked with; of two rounds it takes part in one, so roots at least halve in two.
+        np.minimum.at(root, x, y)
+        np.minimum.at(root, y, x)
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[root]
+
+
+def _contracted(links: DataFrame, blocks: int, limit: int) -> DataFrame:
+    """``node, component`` of every node of ``links(a, b)`` within each of ``blocks`` tasks, which hold ``limit`` links and their nodes at once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held, most = 0, limit
+        for batch in batches:
+            parts.append(tuple(_column(batch, c).to_numpy() for c in ("a", "b")))
+            held += batch.num_rows
+            if held > most:
+                parts = [stars(*map(np.concatenate, zip(*parts)))]
+                held = len(parts[0][0])
+                most = limit + held
+        if parts:
+            nodes, roots = stars(*map(np.concatenate, zip(*parts)))
+            for lo in range(0, len(nodes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (nodes, roots)], ["node", "component"])
+
+    return links.select("a", "b").coalesce(blocks).mapInArrow(tidied(run), "node bigint, component bigint")
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """``node, component`` of every node of ``links(a, b)``: the least node reachable. Alternating large-star and small-star rounds."""
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+
+def components(links: DataFrame, name: str = "components", block: int = 1 << 20) -> DataFrame:
+    """``node, component`` of every node of ``links(a, b)`` with a link to another: the least node reachable.
+
+    Blocks of about ``block`` links are contracted, each by one task; several are joined by alternating large-star and small-star rounds.
+    """
+    links = links.where("a <> b")
+    blocks = max(1, -(-links.count() // block))
+    found = materialize(_contracted(links, blocks, block), name)
+    if blocks == 1:
+        return found
+    edges = materialize(found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).distinct(), name)
     mark = None
     while True:
         # Large star: every neighbour above a node goes to the least of its neighbourhood.
@@ -297,7 +355,7 @@ def _differences(members: DataFrame, sets: DataFrame, config: SketchConfig) -> D
                 yield pa.RecordBatch.from_arrays(columns, ["head", "node", "e", "weight", "size", "far"])
 
     pairs = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
-    return _with_sets(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(tidied(run), "head bigint, node bigint, e bigint, weight bigint, size bigint, far boolean")
+    return _with_sets(pairs, sets, config).mapInArrow(tidied(run), "head bigint, node bigint, e bigint, weight bigint, size bigint, far boolean")
 
 
 def _meetings(members: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:
@@ -343,7 +401,7 @@ def near_duplicates(docs: DataFrame, config: SketchConfig = SketchConfig()) -> D
     heads = buckets.join(fullness, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("fullness"), "node")).alias("head"))
     pairs = buckets.join(heads, "bucket").where("head.node <> node").select(F.col("head.node").alias("head"), "node").distinct()
     pairs = materialize(pairs, "neardup-members")
-    wanted = reps.select("node", "doc_id", "digest").join(fullness.select("node"), "node", "left_semi")
+    wanted = reps.select("node", "doc_id", "digest", "n_shingles").join(fullness.select("node"), "node", "left_semi")
     sets = materialize(_sets(docs, wanted, config), "neardup-sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -357,7 +415,7 @@ def near_duplicates(docs: DataFrame, config: SketchConfig = SketchConfig()) -> D
     first = ranked_heads.groupBy("node").agg(F.min(F.struct(-F.col("fullness"), "head")).alias("first")).select("node", F.col("first.head").alias("first"))
     members = materialize(_labelled(pairs, found).join(first, "node"), "neardup-labelled")
     members = materialize(_several(members, "head"), "neardup-open")
-    more = links_of(_meetings(members, sets, config))
+    more = links_of(materialize(_meetings(members, sets, config), "neardup-meetings"))
     if more.limit(1).count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     classed = _labelled(classes, found)

@@ -284,6 +284,49 @@ def test_prefixes_find_every_link(spark):
     assert len(want) > 5 and want <= met and len(met) < 3000
 
 
+def test_components_by_blocks(spark, monkeypatch):
+    """One block of links is contracted without rounds; many blocks, of a long chain too, give the same."""
+    rng = np.random.default_rng(4)
+    pairs = [(i, i + 1) for i in range(0, 300)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (220, 2))] + [(7, 7), (5, 4), (5, 4), (2000, 2000), (1 << 60, 3000)]
+    roots = {}
+    find = lambda x: x if roots.setdefault(x, x) == x else find(roots[x])
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        roots[b] = a
+    want = sorted((x, find(x)) for x in {x for a, b in pairs if a != b for x in (a, b)})
+    links = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7).cache()
+    written = []
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, real=neardup.materialize: written.append(name) or real(df, name))
+    assert sorted(map(tuple, neardup.components(links).collect())) == want and len(written) == 1
+    assert sorted(map(tuple, neardup.components(links, block=100).collect())) == want and len(written) > 3
+    assert neardup.components(links.limit(0)).count() == 0
+
+
+def test_near_duplicates_in_few_tasks(spark):
+    """Many shuffle partitions make few Python tasks, and components no tasks for each partition and round."""
+    random.seed(6)
+    base = [f"w{random.randrange(900)}" for _ in range(60)]
+    rows = [(i, " ".join(base[: i % 25] + [f"x{i % 5}"] + base[i % 25 + i % 7 :])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    spark.sparkContext.setJobGroup("few", "")
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = neardup.near_duplicates(df, neardup.SketchConfig(shingle=2)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, _, _, c in near_components(rows, 2)}
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("few") for s in status.getJobInfo(j).stageIds]
+    ran = sum(s.numCompletedTasks for s in stages if s)
+    print("tasks", ran)
+    assert ran < 2500
+
+
 def test_setsketch_estimates():
     config = neardup.SketchConfig()
     rng = np.random.default_rng(0)
