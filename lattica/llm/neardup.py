@@ -185,15 +185,14 @@ def fingerprints(docs: DataFrame, config: SketchConfig) -> DataFrame:
 
 
 def _packed(rows: DataFrame, size: int | None, config: SketchConfig) -> DataFrame:
-    """``rows`` of about ``size`` bytes in as many tasks as they ask for, and three a core: what starts and ends a Python pass takes longer than a small partition."""
+    """``rows``, made of about ``size`` bytes that their joins read, in as many tasks as that asks for, and three a core: what starts and ends a Python pass takes longer than a small partition."""
     least = 3 * rows.sparkSession.sparkContext.defaultParallelism
     return rows.coalesce(max(least, -(-(size or 0) // config.task_bytes)))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, config: SketchConfig) -> DataFrame:
-    """``node, shingles`` of ``wanted(node, doc_id, digest, n_shingles)``; of rows with a repeated id, those whose set has the digest."""
-    size = wanted.agg(8 * F.sum("n_shingles")).first()[0]  # a text has about as many bytes as its set
-    texts = docs.select("doc_id", "text").join(wanted.drop("n_shingles"), "doc_id")
+def _sets(docs: DataFrame, wanted: DataFrame, size: int | None, config: SketchConfig) -> DataFrame:
+    """``node, shingles`` of ``wanted(node, doc_id, digest)``; of rows with a repeated id, those whose set has the digest. ``size``: bytes of all docs."""
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,15 +227,16 @@ def _likely(pairs: DataFrame, reps: DataFrame, config: SketchConfig) -> DataFram
                 keep.append(int((x == y).sum()) >= (floor - 0.1) * len(x) and estimate(x, y, m, n, config) >= floor)
             yield pa.RecordBatch.from_arrays([_column(batch, c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = _packed(both.select("a", "b", "n_a", "n_b", "k_a", "k_b"), 4 * config.registers * pairs.count(), config)
+    both = _packed(both.select("a", "b", "n_a", "n_b", "k_a", "k_b"), 2 * config.registers * (2 * pairs.count() + 2 * reps.count()), config)
     return both.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:
-    """``a, b, s_a, s_b``, packed for a Python pass as if all sets were as long as a class's on average."""
+    """``a, b, s_a, s_b``, packed for a Python pass by the sets that the joins read and those of the pairs, of average length."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-    mean = sets.agg(F.avg(F.length("shingles"))).first()[0] or 0
-    return _packed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b"), int(2 * mean * pairs.count()), config)
+    count, total = sets.agg(F.count("*"), F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()
+    size = total * 2 + total * 2 * pairs.count() // max(1, count)
+    return _packed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b"), size, config)
 
 
 def _is_link(common: int, m: int, n: int, config: SketchConfig) -> bool:
@@ -401,8 +401,9 @@ def near_duplicates(docs: DataFrame, config: SketchConfig = SketchConfig()) -> D
     heads = buckets.join(fullness, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("fullness"), "node")).alias("head"))
     pairs = buckets.join(heads, "bucket").where("head.node <> node").select(F.col("head.node").alias("head"), "node").distinct()
     pairs = materialize(pairs, "neardup-members")
-    wanted = reps.select("node", "doc_id", "digest", "n_shingles").join(fullness.select("node"), "node", "left_semi")
-    sets = materialize(_sets(docs, wanted, config), "neardup-sets")
+    wanted = reps.select("node", "doc_id", "digest").join(fullness.select("node"), "node", "left_semi")
+    size = prints.agg(8 * F.sum("n_shingles")).first()[0]  # a text has about as many bytes as its set
+    sets = materialize(_sets(docs, wanted, size, config), "neardup-sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         likely = materialize(_likely(pairs, reps, config), "neardup-likely")
